@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import lengths, line_runs, warc_store
+from siftline.llm import byte_cnn, lengths, line_runs, tiling, warc_store
 from siftline.llm.common import read_table
 
 
@@ -12,6 +12,12 @@ def op2_token_counts(spark, sf_dir):
     return lengths.length_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    scored = byte_cnn.score_quality(docs, byte_cnn.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(byte_cnn.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_line_dedup(spark, sf_dir):
     out = line_runs.drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -22,7 +28,13 @@ def op9_warc(spark, sf_dir):
     return warc_store.read_archive(spark, warc_store.write_archive(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_line_dedup, op9_warc)}
+def op10_decontamination(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = tiling.score_contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return scored.select("doc_id", "contaminated", "item_id", "coverage", "n_items")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op8_line_dedup, op9_warc, op10_decontamination)}
 
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
