@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import byte_cnn, lengths, line_runs, tiling, warc_store
+from siftline.llm import adaptive_rules, byte_cnn, lengths, line_runs, mixing, tiling, warc_store
 from siftline.llm.common import read_table
 
 
+def op1_source_mixing(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark, sf_dir):
     return lengths.length_report(read_table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,11 @@ def op3_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(byte_cnn.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_quality_rules(spark, sf_dir):
+    out = adaptive_rules.apply_rules(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "n_lines", "n_caps")
+
+
 def op8_line_dedup(spark, sf_dir):
     out = line_runs.drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -34,7 +43,50 @@ def op10_decontamination(spark, sf_dir):
     return scored.select("doc_id", "contaminated", "item_id", "coverage", "n_items")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op8_line_dedup, op9_warc, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_quality_classifier, op7_quality_rules, op8_line_dedup, op9_warc, op10_decontamination)}
+
+_OP1 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+s AS (SELECT source, count(*) AS n_docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
+p AS (SELECT *, tokens / (SELECT sum(tokens) FROM s) AS p FROM s),
+e AS (SELECT CASE WHEN max(p) = min(p) THEN 0 ELSE round(greatest(0, 1 - ln(2.0) / ln(max(p) / min(p))), 6) END AS alpha FROM p WHERE tokens > 0),
+f AS (SELECT p.*, CASE WHEN tokens > 0 THEN round(pow(p, alpha - 1) / (SELECT min(pow(p, alpha - 1)) FROM p, e WHERE tokens > 0), 9) ELSE 1.0 END AS epochs FROM p, e),
+q AS (SELECT *, floor(tokens * epochs + 1e-6)::BIGINT AS quota FROM f),
+b AS (SELECT greatest(1, ceil(sum(quota) / 1000000.0))::BIGINT AS blocks FROM q),
+x AS (SELECT d.doc_id, d.source, d.n_tokens, q.tokens, q.quota,
+             unnest(range(0, CASE WHEN tokens > 0 THEN (quota - 1) // tokens + 1 ELSE 1 END)) AS epoch
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, md5(concat_ws('|', 'mix-1', epoch, doc_id)) AS key FROM x),
+o AS (SELECT *, (epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM k)
+SELECT doc_id, source, n_tokens, epoch::BIGINT AS epoch, CASE WHEN quota > 0 THEN (start::HUGEINT * blocks // quota)::BIGINT ELSE 0 END AS block, start, key
+FROM o, b WHERE start < quota OR tokens = 0
+"""
+
+_OP7 = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM dup, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+lin AS (SELECT doc_id, list_filter(string_split(text, E'\n'), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+             len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x)))::BIGINT AS n_caps
+      FROM d JOIN lin ON d.doc_id = lin.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbols, coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeats,
+             coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_lines, coalesce(1000 * n_caps // nullif(n_words, 0), 0) AS caps FROM m),
+v AS (SELECT lang, source, metric, bin FROM (SELECT * FROM f WHERE NOT base_failed) UNPIVOT (bin FOR metric IN (symbols, repeats, dup_lines, caps))),
+g AS (SELECT 'own' AS lev, lang, source, metric, bin FROM v UNION ALL SELECT 'lang', lang, NULL, metric, bin FROM v UNION ALL SELECT 'all', NULL, NULL, metric, bin FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY lev, lang, source, metric ORDER BY bin) AS k, count(*) OVER (PARTITION BY lev, lang, source, metric) AS n FROM g),
+t AS (SELECT lev, lang, source, metric, max(n) AS n, min(bin) FILTER (WHERE k * 4 >= n) AS q1, min(bin) FILTER (WHERE k * 4 >= 3 * n) AS q3 FROM r GROUP BY lev, lang, source, metric),
+h AS (SELECT lev, lang, source, n, metric, q3 + 3 * (q3 - q1) + CASE metric WHEN 'symbols' THEN 30 WHEN 'repeats' THEN 60 ELSE 100 END AS t FROM t WHERE lev = 'all' OR n >= 100),
+z AS (SELECT lev, lang, source, max(t) FILTER (WHERE metric = 'symbols') AS ts, max(t) FILTER (WHERE metric = 'repeats') AS tr, max(t) FILTER (WHERE metric = 'dup_lines') AS td, max(t) FILTER (WHERE metric = 'caps') AS tc FROM h GROUP BY lev, lang, source)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, f.lang, f.source, n_lines, n_caps,
+       NOT base_failed AND symbols <= coalesce(a.ts, b.ts, c.ts, 0) AND repeats <= coalesce(a.tr, b.tr, c.tr, 0) AND dup_lines <= coalesce(a.td, b.td, c.td, 0) AND caps <= coalesce(a.tc, b.tc, c.tc, 0) AS kept
+FROM f LEFT JOIN z a ON a.lev = 'own' AND a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source
+       LEFT JOIN z b ON b.lev = 'lang' AND b.lang IS NOT DISTINCT FROM f.lang LEFT JOIN z c ON c.lev = 'all'
+"""
 
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -58,4 +110,4 @@ SELECT page_id, payload_bytes,
 FROM x
 """
 
-SQL = {"op8_line_dedup": _OP8, "op9_warc": _OP9}
+SQL = {"op1_source_mixing": _OP1, "op7_quality_rules": _OP7, "op8_line_dedup": _OP8, "op9_warc": _OP9}
