@@ -12,7 +12,7 @@ from siftline.llm.common import SPACE_CLASS, join_hot, stash
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: A threshold is Q3 + REACH * (Q3 - Q1) plus the metric's slack, in thousandths; a sketch needs MIN_GROUP documents.
 REACH, MIN_GROUP = 3, 100
-SLACK = {"symbols": 30, "repeats": 60, "dup_lines": 100, "caps": 100}
+SLACK = {"symbols": 30, "repeats": 200, "dup_lines": 400, "caps": 100}
 
 _WORDS = rf"filter(split(coalesce(text, ''), r'[{SPACE_CLASS}]+'), x -> x <> '')"
 _LINES = rf"filter(split(coalesce(text, ''), r'\n', -1), x -> x rlike r'[^{SPACE_CLASS}]')"

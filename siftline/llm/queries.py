@@ -80,7 +80,7 @@ v AS (SELECT lang, source, metric, bin FROM (SELECT * FROM f WHERE NOT base_fail
 g AS (SELECT 'own' AS lev, lang, source, metric, bin FROM v UNION ALL SELECT 'lang', lang, NULL, metric, bin FROM v UNION ALL SELECT 'all', NULL, NULL, metric, bin FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY lev, lang, source, metric ORDER BY bin) AS k, count(*) OVER (PARTITION BY lev, lang, source, metric) AS n FROM g),
 t AS (SELECT lev, lang, source, metric, max(n) AS n, min(bin) FILTER (WHERE k * 4 >= n) AS q1, min(bin) FILTER (WHERE k * 4 >= 3 * n) AS q3 FROM r GROUP BY lev, lang, source, metric),
-h AS (SELECT lev, lang, source, n, metric, q3 + 3 * (q3 - q1) + CASE metric WHEN 'symbols' THEN 30 WHEN 'repeats' THEN 60 ELSE 100 END AS t FROM t WHERE lev = 'all' OR n >= 100),
+h AS (SELECT lev, lang, source, n, metric, q3 + 3 * (q3 - q1) + CASE metric WHEN 'symbols' THEN 30 WHEN 'repeats' THEN 200 WHEN 'dup_lines' THEN 400 ELSE 100 END AS t FROM t WHERE lev = 'all' OR n >= 100),
 z AS (SELECT lev, lang, source, max(t) FILTER (WHERE metric = 'symbols') AS ts, max(t) FILTER (WHERE metric = 'repeats') AS tr, max(t) FILTER (WHERE metric = 'dup_lines') AS td, max(t) FILTER (WHERE metric = 'caps') AS tc FROM h GROUP BY lev, lang, source)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, f.lang, f.source, n_lines, n_caps,
        NOT base_failed AND symbols <= coalesce(a.ts, b.ts, c.ts, 0) AND repeats <= coalesce(a.tr, b.tr, c.tr, 0) AND dup_lines <= coalesce(a.td, b.td, c.td, 0) AND caps <= coalesce(a.tc, b.tc, c.tc, 0) AS kept
