@@ -23,17 +23,25 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _intake(batches):
+def _facts(batches):
     for b in batches:
-        ids, urls = b.column(0), b.column(1)
-        n, sha1, sha256, packed = [], [], [], []
+        n, sha1, sha256 = [], [], []
         for x in b.column(2).cast(pa.binary()):
             p = x.as_py() or b""
             n.append(len(p))
             sha1.append(base32_sha1(p))
             sha256.append(hashlib.sha256(p).digest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha1, pa.string()), pa.array(sha256, pa.binary())], names=["page_id", "url", "n", "sha1", "digest"])
+
+
+def _pack(batches):
+    for b in batches:
+        digests, packed = [], []
+        for x in b.column(1).cast(pa.binary()):
+            p = x.as_py() or b""
+            digests.append(hashlib.sha256(p).digest())
             packed.append(zlib.compress(p, ZLIB_LEVEL))
-        yield pa.RecordBatch.from_arrays([ids, urls, pa.array(n, pa.int64()), pa.array(sha1, pa.string()), pa.array(sha256, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "url", "n", "sha1", "digest", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["page_id", "digest", "packed"])
 
 
 def _clean(value: str | None) -> str:
@@ -70,27 +78,24 @@ def _heads(batches):
 def write_archive(pages: DataFrame, path: str | None = None, min_bytes: int = 0) -> str:
     """Archives pages (page_id, url, html) and returns the archive's folder, with two tables:
 
-    `payloads` (digest = SHA-256, packed = deflated bytes), each distinct payload once, and `headers` (header, digest), the exact
+    `payloads` (digest = SHA-256, packed = deflated bytes, first_id, copies), each distinct payload once, and `headers` (header, digest), the exact
     header of each record. Of records with equal payloads of at least min_bytes, that with the smallest page_id is the response and
     the others are revisits of it; shorter payloads are all responses. A null html is an empty payload. Rows that tie on the
     smallest page_id are all responses, a null page_id counts as larger than any other. Other columns are ignored.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    kinds = "page_id long, url string, n long, sha1 string, digest binary, packed binary"
-    taken = stash(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_intake, kinds), "warc-intake", codec="uncompressed")
-    firsts = stash(taken.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")), "warc-firsts")
-    facts = taken.drop("packed").withColumn("sole", F.col("n") < min_bytes)
-    joined = join_hot(facts, firsts, "digest", "copies")
+    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    facts = stash(ids.mapInArrow(_facts, "page_id long, url string, n long, sha1 string, digest binary"), "warc-facts")
+    packed = ids.select("page_id", "html").mapInArrow(_pack, "page_id long, digest binary, packed binary")
+    # Copies meet map-side first, so a payload is shuffled at most once by each task that has it.
+    once = packed.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("packed").alias("packed"))
+    once.write.option("compression", "uncompressed").parquet(f"{path}/payloads")
+    firsts = spark.read.parquet(f"{path}/payloads").select("digest", "first_id", "copies")
+    joined = join_hot(facts.withColumn("sole", F.col("n") < min_bytes), firsts, "digest", "copies")
     kind = F.when(F.col("sole") | F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
     joined.withColumn("kind", kind).mapInArrow(_heads, "header string, digest binary").write.parquet(f"{path}/headers")
-    # Each digest's own first record brings the payload: (digest, page_id) is no hot key, whatever the number of copies.
-    keys = firsts.withColumnRenamed("first_id", "page_id").select("digest", "page_id")
-    same = (taken["digest"] == keys["digest"]) & taken["page_id"].eqNullSafe(keys["page_id"])
-    found = taken.join(keys, same, "left_semi").select("digest", "packed")
-    found.dropDuplicates(["digest"]).write.option("compression", "uncompressed").parquet(f"{path}/payloads")
-    remove(spark, taken.stash_path)
-    remove(spark, firsts.stash_path)
+    remove(spark, facts.stash_path)
     return path
 
 
@@ -127,7 +132,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Each stored payload is unpacked once and must match its SHA-256, or the read fails. An archive without pages gives no rows.
     """
-    payloads = stash(spark.read.parquet(f"{path}/payloads").mapInArrow(_verify, "digest binary, payload_bytes long, payload_digest string"), "warc-verified")
+    payloads = stash(spark.read.parquet(f"{path}/payloads").select("digest", "packed").mapInArrow(_verify, "digest binary, payload_bytes long, payload_digest string"), "warc-verified")
     heads = stash(read_headers(spark, path), "warc-heads")
     counts = heads.groupBy("digest").agg(F.count("*").alias("_n"))
     out = join_hot(heads, payloads.join(counts, "digest"), "digest", "_n", how="inner")
@@ -143,7 +148,7 @@ def _unpack(batches):
 def records(spark: SparkSession, path: str) -> DataFrame:
     """header, html of every response record: the original records, rebuilt by joining headers with payloads."""
     heads = spark.read.parquet(f"{path}/headers").where("header LIKE '%WARC-Type: response%'")
-    both = heads.join(spark.read.parquet(f"{path}/payloads"), "digest").select("header", "packed")
+    both = heads.join(spark.read.parquet(f"{path}/payloads").select("digest", "packed"), "digest").select("header", "packed")
     return both.mapInArrow(_unpack, "header string, html string")
 
 
