@@ -1,6 +1,54 @@
-STAGES = []
+"""Corpus pipeline: quality, repeated lines, near duplicates, benchmark passages, mixture; each stage works on what the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.llm import byte_cnn, line_runs, mixing, order_minhash, tiling
+from siftline.llm.common import new_path, read_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled ones among docs."""
+    model = byte_cnn.fit(docs, read_table(spark, sf_dir, "labels"))
+    return byte_cnn.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their repeated lines; n_chars is counted anew."""
+    return line_runs.drop_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return order_minhash.keep_one(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return tiling.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: one row for each time a document is drawn, every document at least once."""
+    return mixing.mix(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture)]
+
+#: The classifier and the near-duplicate classes are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, each written as Parquet in the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        path = new_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import adaptive_rules, byte_cnn, lengths, line_runs, mixing, order_minhash, tiling, warc_store
+from siftline.llm import adaptive_rules, byte_cnn, lattice_lm, lengths, line_runs, mixing, order_minhash, page_text, tiling, warc_store
 from siftline.llm.common import read_table
 
 
@@ -22,6 +22,14 @@ def op3_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(byte_cnn.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_html_extraction(spark, sf_dir):
+    return page_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    return lattice_lm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark, sf_dir):
     return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,7 @@ def op10_decontamination(spark, sf_dir):
     return scored.select("doc_id", "contaminated", "item_id", "coverage", "n_items")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_quality_classifier, op6_near_duplicates, op7_quality_rules, op8_line_dedup, op9_warc, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_quality_classifier, op4_html_extraction, op5_lm_scoring, op6_near_duplicates, op7_quality_rules, op8_line_dedup, op9_warc, op10_decontamination)}
 
 _OP1 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
