@@ -187,30 +187,29 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) among reps (node, keys), which have different texts.
+    """node, root of the linked ones among reps (node, keys), which have different texts; see components().
 
-    In each bucket the smallest node leads, and every other member is verified against it. Members that fail stay in the bucket
-    and elect a leader of their own, for as long as a round of leaders still finds links; members that are then left together
-    share a passage, and meet again in other buckets if they share more. No list of all pairs of a bucket is ever made.
+    In each bucket the smallest node leads, and every other member is verified against it. Then the members of each class that has
+    come about are taken together, and buckets that still hold several classes elect a leader among these, for as long as a round
+    finds links. So a bucket of g members costs about g verifications, and no list of all pairs of a bucket is ever made.
     """
-    active = reps.select("node", F.explode("keys").alias("key"))
-    found: list[DataFrame] = []
+    buckets = reps.select("node", F.explode("keys").alias("key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    shared = stash(join_hot(buckets, stash(sizes, "near-sizes", codec="uncompressed"), "key", "_n", how="inner").select("key", "node"), "near-buckets")
+    now, found, tried, roots = shared, None, None, None
     while True:
-        groups = active.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("_n")).where("_n > 1")
-        led = stash(groups, "near-leaders", codec="uncompressed")
-        held = stash(join_hot(active, led, "key", "_n", how="inner").where("node <> leader").select("key", "node", "leader"), "near-members")
-        pairs = held.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        for known in found:  # verified in an earlier round
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        good = stash(verify(stash(pairs, "near-pairs"), docs), "near-links")
-        if good.isEmpty():
-            break
-        found.append(good)
-        active = stash(held.join(good, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti").select("node", "key"), "near-buckets")
-    out = reps.sparkSession.createDataFrame([], "a long, b long")
-    for f in found:
-        out = out.unionByName(f)
-    return out
+        classes = now if roots is None else now.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node")
+        members = classes if roots is None else classes.groupBy("key", "root").agg(F.min("node").alias("node"))
+        leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("_n")).where("_n > 1")
+        pairs = join_hot(stash(members.select("key", "node"), "near-members"), stash(leaders, "near-leaders"), "key", "_n", how="inner")
+        pairs = pairs.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        good = stash(verify(pairs, docs), "near-links")
+        if found is not None and good.isEmpty():
+            return roots
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = good if found is None else found.unionByName(good)
+        roots = components(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -225,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stash(ids.mapInArrow(_sketches, "doc_id long, digest binary, keys array<long>"), "near-rows", codec="uncompressed")
     worded = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
     reps = stash(worded, "near-reps", codec="uncompressed")
-    roots = components(links(reps.where("node IS NOT NULL").select("node", "keys"), ids))
+    roots = links(reps.where("node IS NOT NULL").select("node", "keys"), ids)
     named = reps.select("digest", "node", "copies").join(roots, "node", "left").select("digest", "copies", F.coalesce("root", "node").alias("_class"))
     named = stash(named, "near-classes")
     member = join_hot(rows.select("doc_id", "digest"), named, "digest", "copies")
