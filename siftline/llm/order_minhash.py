@@ -179,7 +179,7 @@ def _verified(batches):
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b: node ids, repeated by no other row) whose texts are similar; texts of nodes in pairs alone are moved."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
     codes = stash(texts.mapInArrow(_codes, "node long, codes binary"), "near-codes").distinct()
     one = pairs.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a")
     two = one.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
