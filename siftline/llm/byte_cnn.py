@@ -59,8 +59,8 @@ def scores(texts: list[bytes], m: Model) -> np.ndarray:
     """The model's probability of each whole text."""
     sizes = np.array([len(t) for t in texts], np.int64)
     chunks, blocks = layout(sizes)
-    starts = np.cumsum(blocks) - blocks
-    data = np.zeros(int(blocks.sum()) * BLOCK + WIDTH - 1, np.uint8)
+    starts = np.cumsum(blocks + 1) - blocks - 1  # an empty block after each text, so that no filter sees two texts
+    data = np.zeros(int((blocks + 1).sum()) * BLOCK + WIDTH - 1, np.uint8)
     for t, s in zip(texts, starts.tolist(), strict=True):
         data[s * BLOCK : s * BLOCK + len(t)] = np.frombuffer(t, np.uint8)
     pooled = pooled_blocks(data, m)
