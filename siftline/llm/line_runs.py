@@ -103,7 +103,7 @@ class LineRuns:
     def compact(self) -> None:
         level = 0
         while level < len(self.levels):
-            if len(self.levels[level]) >= 2 * self.fanout:
+            if len(self.levels[level]) >= self.fanout * (1 if level else 2):  # two runs of each batch at level 0
                 old, self.levels[level] = self.levels[level], []
                 self._write(_merged(self._read(old)), level + 1)
                 for p in old:
