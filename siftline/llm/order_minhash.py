@@ -239,7 +239,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = stash(near_duplicates(docs), "near-members")
     keep = classes.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_n")).withColumnRenamed("doc_id", "_keep")
     keep = stash(keep, "near-kept")
-    out = docs.join(keep.select("_keep"), docs["doc_id"].cast("long") == F.col("_keep"), "left_semi")
+    out = docs.join(keep.select("_keep").hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_keep"), "left_semi")
     if not keep.where("_n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL"))
