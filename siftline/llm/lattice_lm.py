@@ -24,7 +24,7 @@ CLASSES, LEAST_SHARE, DISCOUNT = 8, 0.01, 0.75
 FREQUENT, FLUSH = 200_000, 300_000
 #: Longest piece in bytes; cells of a lattice that are held at once.
 LONGEST, CELLS = 16, 1 << 20
-BUFFER = 50_000
+BUFFER = 200_000
 MARK = "▁"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -66,20 +66,30 @@ class Pieces:
         self.start = np.log(start / start.sum())
         self.longest = max(map(len, self.pieces))
         h = np.array([_hash(np.frombuffer(p, np.uint8)) for p in self.pieces], np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.ids = h[order], order
         assert len(np.unique(h)) == len(h)
-        self.filter = np.zeros(1 << _SLOTS, bool)
-        self.filter[h >> np.uint64(64 - _SLOTS)] = True
+        self.hashes = h
+        # Two tables over different bits of the hash: the second one has the pieces that find their slot of the first one taken.
+        self.first, self.second = np.full(1 << _SLOTS, -1, np.int32), np.full(1 << _SLOTS, -1, np.int32)
+        slot = h >> np.uint64(64 - _SLOTS)
+        owner = np.unique(slot, return_index=True)[1]
+        self.first[slot[owner]] = owner
+        rest = np.setdiff1d(np.arange(len(h)), owner)
+        slot2 = self._second(h[rest])
+        assert len(np.unique(slot2)) == len(rest)
+        self.second[slot2] = rest
+
+    @staticmethod
+    def _second(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - 2 * _SLOTS)) & np.uint64((1 << _SLOTS) - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash, or -1."""
-        out = np.full(h.shape, -1, np.int32)
-        maybe = np.flatnonzero(self.filter[(h >> np.uint64(64 - _SLOTS))])
-        some = h[maybe]
-        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
-        good = self.hashes[at] == some
-        out[maybe[good]] = self.ids[at[good]]
+        out = self.first[h >> np.uint64(64 - _SLOTS)]
+        taken = np.flatnonzero(out >= 0)
+        other = taken[self.hashes[out[taken]] != h[taken]]
+        if len(other):
+            again = self.second[self._second(h[other])]
+            out[other] = np.where((again >= 0) & (self.hashes[again] == h[other]), again, -1)
         return out
 
 
