@@ -55,7 +55,13 @@ def _marks(attrs: str, tag: str) -> tuple[bool, int]:
     return off, 2 if role == "main" or role == "article" else 1 if words & MAIN_MARKS and tag not in ("html", "body") else 0
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, int]]:
+def page_blocks(page: str | None) -> list[tuple[str, bool, int]]:
+    """blocks() of a page; if names of classes, ids and roles would drop everything, they aren't heeded."""
+    found = blocks(page)
+    return blocks(page, False) if found and all(off for _, off, _ in found) else found
+
+
+def blocks(page: str | None, names: bool = True) -> list[tuple[str, bool, int]]:
     """The page's text in blocks, in order: (text, dropped by its markup, how strongly it stands in the article: 0 to 3)."""
     page = page or ""
     out: list[tuple[str, bool, int]] = []
@@ -104,7 +110,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, int]]:
             close("p", BLOCKS - {"p"})
         if tag in ("li", "dt", "dd", "tr"):
             close(tag, frozenset(("ul", "ol", "dl", "table", "menu")))
-        off, main = _marks(m[3], tag) if m[3].strip() else (False, 0)
+        off, main = _marks(m[3], tag) if names and m[3].strip() else (False, 0)
         was_off, was_main = stack[-1][1], stack[-1][2]
         if tag in NEVER or tag == "header" and not was_main:
             off = True
@@ -181,7 +187,7 @@ _BLOCK = pa.list_(pa.struct([("t", pa.string()), ("off", pa.bool_()), ("main", p
 
 def _parse(batches):
     for b in batches:
-        rows = [[{"t": t, "off": off, "main": m} for t, off, m in blocks(x)] for x in b.column(3).to_pylist()]
+        rows = [[{"t": t, "off": off, "main": m} for t, off, m in page_blocks(x)] for x in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, _BLOCK)], names=["page_id", "url", "shard", "blocks"])
 
 

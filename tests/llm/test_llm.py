@@ -156,6 +156,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 def test_blocks():
     got = page_text.blocks(PAGE)
     assert page_text.main_text(got, [False] * len(got)) == "Head&line\nOne boldword <tag> café next\nTwo three"
+    wrapped = page_text.page_blocks('<div class="no-sidebar"><p>Text</p><nav>Menu</nav></div>')
+    assert page_text.main_text(wrapped, [False] * len(wrapped)) == "Text"
     assert page_text.blocks(None) == [] and page_text.blocks("plain\n text")[0][0] == "plain text"
     assert page_text.blocks("<p>a<!-- b --><p title='>'>c</p><script>x") == [("a", False, 0), ("c", False, 0)]
 
