@@ -18,6 +18,8 @@ from siftline.llm.components import components
 K, TAKE, SKETCHES, SIMILARITY = 5, 2, 80, 0.8
 #: Elements of the table of ranks that is held at once for one document.
 HELD = 1 << 22
+#: Bits that stand for a text's pairs of neighbouring words; members of a bucket that a task compares with as many others at once.
+BITS, BLOCK = 1024, 1024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -176,40 +178,97 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(good)
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b: node ids, repeated by no other row) whose texts are similar; texts of nodes in pairs alone are moved."""
+def text_codes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, codes of the texts of all nodes in pairs (a, b: node ids); no other texts are moved."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    codes = stash(texts.mapInArrow(_codes, "node long, codes binary"), "near-codes").distinct()
+    return stash(texts.mapInArrow(_codes, "node long, codes binary"), "near-codes")
+
+
+def verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs (a, b: node ids, repeated by no other row) whose texts are similar; codes from text_codes()."""
+    codes = codes.distinct()
     one = pairs.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a")
     two = one.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
     return two.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long").distinct()
 
 
+def pair_bits(codes: np.ndarray) -> np.ndarray:
+    """BITS bits in which each pair of neighbouring words sets one. An edit of a word touches at most two such pairs, so two texts
+    of distance d have at most 2 d bits that the other one lacks."""
+    bits = np.zeros(BITS, bool)
+    if len(codes) > 1:
+        bits[kmers(codes, 2) % np.uint64(BITS)] = True
+    return np.packbits(bits)
+
+
+def _bits(batches):
+    for b in batches:
+        codes = [np.frombuffer(x.as_py(), np.uint32) for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in codes], pa.int64()), pa.array([pair_bits(c).tobytes() for c in codes], pa.binary())], names=["node", "words", "bits"])
+
+
+def _rivals(group: pa.Table) -> pa.Table:
+    """Pairs of members of different classes (of different sides, if there are two) that lengths and pair_bits() let be similar."""
+    words = group.column("words").to_numpy()
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    node, root, side = (group.column(c).to_numpy()[order] for c in ("node", "root", "side"))
+    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(words), -1)[order]
+    most = ((1 - SIMILARITY) * words + 1e-9).astype(np.int64)
+    ends = np.searchsorted(words - most, words, side="right")
+    split = (side != side[0]).any()
+    a, b = [], []
+    for i, end in enumerate(ends.tolist()):
+        if end <= i + 1:
+            continue
+        good = root[i + 1 : end] != root[i]
+        if split:
+            good &= side[i + 1 : end] != side[i]
+        at = np.flatnonzero(good) + i + 1
+        lost, more = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1), np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1)
+        at = at[np.maximum(lost, more) <= 2 * most[at]]
+        a.append(np.maximum(node[at], node[i]))
+        b.append(np.minimum(node[at], node[i]))
+    none = np.empty(0, np.int64)
+    return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+
+
+def rivals(members: DataFrame, roots: DataFrame, codes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (key, node) of one bucket that are in different classes and may be similar.
+
+    A bucket of more than BLOCK members is dealt into blocks by a hash of the node, and each two blocks meet in a group of their
+    own, so no task holds a whole bucket, and what comes out are the pairs that pass the bounds, not all pairs of the bucket.
+    """
+    classes = stash(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-members")
+    mixed = classes.groupBy("key").agg(F.count("*").alias("_n"), (F.min("root") < F.max("root")).alias("_mixed")).where("_mixed").select("key", "_n")
+    held = join_hot(classes, stash(mixed, "near-mixed", codec="uncompressed"), "key", "_n", how="inner")
+    held = held.join(codes.mapInArrow(_bits, "node long, words long, bits binary").distinct(), "node")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    dealt = held.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = dealt.select("key", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), F.col("_own").alias("side"), "node", "root", "words", "bits")
+    return cells.groupBy("key", "_low", "_high").applyInArrow(_rivals, "a long, b long").distinct()
+
+
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """node, root of the linked ones among reps (node, keys), which have different texts; see components().
 
-    In each bucket the smallest node leads, and every other member is verified against it. Then the members of each class that has
-    come about are taken together, and buckets that still hold several classes elect a leader among these, for as long as a round
-    finds links. So a bucket of g members costs about g verifications, and no list of all pairs of a bucket is ever made.
+    In each bucket the smallest node leads, and every other member is verified against it. Then the leader is taken out, and where
+    the others are still of several classes, every two of different classes are verified too, unless bounds of their edit distance
+    rule them out or they have been compared. So any two members of a bucket are in one class in the end, or are known not to be
+    similar.
     """
     buckets = reps.select("node", F.explode("keys").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = stash(join_hot(buckets, stash(sizes, "near-sizes", codec="uncompressed"), "key", "_n", how="inner").select("key", "node"), "near-buckets")
-    now, found, tried, roots = shared, None, None, None
-    while True:
-        classes = now if roots is None else now.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node")
-        members = classes if roots is None else classes.groupBy("key", "root").agg(F.min("node").alias("node"))
-        leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("_n")).where("_n > 1")
-        pairs = join_hot(stash(members.select("key", "node"), "near-members"), stash(leaders, "near-leaders"), "key", "_n", how="inner")
-        pairs = pairs.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        good = stash(verify(pairs, docs), "near-links")
-        if found is not None and good.isEmpty():
-            return roots
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = good if found is None else found.unionByName(good)
-        roots = components(found)
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("leader")).where("_n > 1")
+    shared = join_hot(buckets, stash(sizes, "near-sizes", codec="uncompressed"), "key", "_n", how="inner")
+    members = stash(shared.where("node <> leader").select("key", "node", "leader"), "near-buckets")
+    pairs = stash(members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
+    codes = text_codes(pairs, docs)
+    found = stash(verify(pairs, codes), "near-links")
+    roots = components(found)
+    more = stash(rivals(members.select("key", "node"), roots, codes).join(pairs, ["a", "b"], "left_anti"), "near-rivals")
+    good = stash(verify(more, codes), "near-links")
+    return roots if good.isEmpty() else components(found.unionByName(good))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -310,6 +310,37 @@ def test_near_duplicates(spark, docs, none):
     assert order_minhash.near_duplicates(none).count() == 0
 
 
+def passage_rows():
+    """Texts that share a passage of 80 words: twenty that are similar to none, before two near copies, in every bucket of these."""
+    rnd = random.Random(21)
+    words = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    passage = words(80)
+    return [(i, " ".join(passage + words(25 if i < 20 else 20))) for i in range(22)]
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_copies_behind_a_foreign_leader(spark, monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    data = passage_rows()
+    tokens = {i: t.split() for i, t in data}
+    links = {(i, j) for i in tokens for j in range(i) if plain_distance(tokens[i], tokens[j]) <= 0.2 * max(len(tokens[i]), len(tokens[j]))}
+    assert links == {(21, 20)}
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: min(i, 20) for i in tokens}
+
+
+def test_pair_bits_bound():
+    rnd = random.Random(22)
+    for _ in range(300):
+        a = [rnd.randrange(500) for _ in range(rnd.randrange(60))]
+        b = list(a)
+        for _ in range(rnd.randrange(12)):
+            b.insert(rnd.randrange(len(b) + 1), rnd.randrange(500))
+            del b[rnd.randrange(len(b))]
+        x, y = (order_minhash.pair_bits(np.array(c, np.uint32)) for c in (a, b))
+        assert max(np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()) <= 2 * plain_distance(a, b)
+
+
 def test_keep_one(spark, docs):
     data, families = near_rows()
     d = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, extra string")
