@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import join_hot, stash
+from siftline.llm.order_minhash import kmers
 
-#: Shortest repeated run in tokens; distinct pages it must be on, at least and as a share of the shard; share of a block's tokens.
-LEAST_RUN, LEAST_PAGES, PAGE_SHARE, COVERED = 8, 3, 0.05, 0.8
-#: A host's pages are dealt by hash into shards of about so many bytes, each with a suffix array of its own.
+#: Shortest repeated run in tokens; distinct pages of the host that it must be on; share of a block's tokens.
+LEAST_RUN, LEAST_PAGES, COVERED = 8, 3, 0.8
+#: A host's pages are dealt by hash into shards of about so many bytes, each with a suffix array of its own; runs are counted over all.
 SHARD_BYTES = 1_000_000
 
 # Fixed values of HTML: elements by their role in a page.
@@ -158,6 +159,34 @@ def repeated_runs(streams: list[np.ndarray], least: int = LEAST_RUN, pages: int
     return [covered[e - s - 1 : e - 1] for e, s in zip(ends, sizes, strict=True)]
 
 
+def run_hashes(stream: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
+    """64-bit hashes of all runs of `least` tokens, by their first token."""
+    return kmers(stream, least) if len(stream) >= least else np.empty(0, np.uint64)
+
+
+def run_mask(stream: np.ndarray, frequent: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
+    """Which tokens lie in runs of `least` tokens whose hash is among the frequent ones."""
+    starts = np.flatnonzero(np.isin(run_hashes(stream, least), frequent))
+    edge = np.zeros(len(stream) + 1, np.int64)
+    edge[starts] += 1
+    edge[starts + least] -= 1
+    return np.cumsum(edge)[:-1] > 0
+
+
+def token_codes(texts: list[str]) -> list[np.ndarray]:
+    return [np.fromiter((zlib.crc32(w.encode()) for w in t.split()), np.int64) for t in texts]
+
+
+def _stream(codes: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([*codes, np.empty(0, np.int64)])
+
+
+def undecided(parsed: list[tuple[str, bool, int]]) -> bool:
+    """Whether repeated runs have a say in main_text()."""
+    kept = [m for _, off, m in parsed if not off]
+    return bool(kept) and max(kept) < 2
+
+
 def main_text(parsed: list[tuple[str, bool, int]], covered: list[bool]) -> str:
     """The blocks that stay: those in the article as marked; without such marks all but the repeated ones; never dropped ones.
 
@@ -169,19 +198,44 @@ def main_text(parsed: list[tuple[str, bool, int]], covered: list[bool]) -> str:
     return "\n".join(t for t, m, c in kept if m == best and (best >= 2 or not c))
 
 
-def _host_texts(group: pa.Table) -> pa.Table:
+def _host_texts(group: pa.Table, runs: pa.Table) -> pa.Table:
+    """The texts of a shard's pages; runs are those of the shard that are on enough pages of the whole host."""
     parsed = [[(b["t"], b["off"], b["main"]) for b in row] for row in group.column("blocks").to_pylist()]
-    codes = [[np.fromiter((zlib.crc32(w.encode()) for w in t.split()), np.int64) for t, _, _ in page] for page in parsed]
-    streams = [np.concatenate([*page, np.empty(0, np.int64)]) for page in codes]
-    need = max(LEAST_PAGES, int(np.ceil(PAGE_SHARE * len(streams))))
+    codes = [token_codes([t for t, _, _ in page]) for page in parsed]
+    streams = [_stream(page) for page in codes]
+    frequent = np.unique(runs.column("run").to_numpy().view(np.uint64))
     texts = []
-    for page, words, mask in zip(parsed, codes, repeated_runs(streams, pages=need), strict=True):
+    for page, words, stream, mask in zip(parsed, codes, streams, repeated_runs(streams), strict=True):
+        if len(frequent):
+            mask = mask | run_mask(stream, frequent)
         ends = np.cumsum([len(w) for w in words])
         share = [mask[e - len(w) : e].mean() if len(w) else 0 for e, w in zip(ends, words, strict=True)]
         texts.append(main_text(page, [s >= COVERED for s in share]))
     return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
+def _facts(batches):
+    for b in batches:
+        pages = b.column(1).to_pylist()
+        sizes = [len(x.encode()) if x else 0 for x in pages]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([undecided(page_blocks(x)) for x in pages], pa.bool_())], names=["host", "bytes", "open"])
+
+
+def _page_runs(batches):
+    for b in batches:
+        for host, shard, x in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+            runs = np.unique(run_hashes(_stream(token_codes([t for t, _, _ in page_blocks(x)])))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.repeat(host, len(runs)), pa.repeat(shard, len(runs)), pa.array(runs)], names=["host", "shard", "run"])
+
+
+def frequent_runs(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
+    """shard, run: the runs of each shard of pages (host, shard, html) that `least` pages of the host have, over all its shards."""
+    counts = pages.mapInArrow(_page_runs, "host string, shard string, run long").groupBy("host", "shard", "run").agg(F.count("*").alias("n"))
+    counts = stash(counts, "shard-runs")
+    often = counts.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("host", "run")
+    return counts.join(often, ["host", "run"], "left_semi").select("shard", "run")
+
+
 _BLOCK = pa.list_(pa.struct([("t", pa.string()), ("off", pa.bool_()), ("main", pa.int32())]))
 
 
@@ -196,15 +250,21 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Markup decides where it speaks: scripts, styles, menus, headers, footers, sidebars, forms and what class, id or role names
     mark as adverts, notices, comments and the like go; inside an article or main element all else stays. Elsewhere a block goes
-    if COVERED of its tokens lie in runs that the suffix array of the page's host finds on enough distinct pages. A hot host is
-    dealt into shards by a hash of page_id, so no task holds a whole host. A null or empty html has an empty text; a null url
+    if COVERED of its tokens lie in runs that the suffix array of the page's host finds on LEAST_PAGES pages or more. A hot host is
+    dealt into shards by a hash of page_id, so no task holds a whole host; if any of its pages lacks such marks, its runs are
+    counted by their hashes over all shards, and the frequent ones are joined back, so the shards do not change the result. A null or empty html has an empty text; a null url
     belongs to a host of its own; rows that repeat a page_id are pages of their own; other columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    hosts = stash(rows.groupBy("host").agg(F.count("*").alias("_n"), F.ceil(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) / SHARD_BYTES).alias("_shards")), "hosts")
+    facts = rows.select("host", "html").mapInArrow(_facts, "host string, bytes long, open boolean").groupBy("host")
+    hosts = stash(facts.agg(F.count("*").alias("_n"), F.ceil(F.sum("bytes") / SHARD_BYTES).alias("_shards"), F.max("open").alias("_open")), "hosts")
     dealt = join_hot(rows, hosts, "host", "_n", least=50, how="inner")
     shard = F.concat_ws("|", F.pmod(F.xxhash64("page_id"), F.greatest("_shards", F.lit(1))), "host")
     parsed = dealt.select("page_id", "url", shard.alias("shard"), "html").mapInArrow(_parse, "page_id long, url string, shard string, blocks array<struct<t: string, off: boolean, main: int>>")
-    out = parsed.groupBy("shard").applyInArrow(_host_texts, "page_id long, url string, text string")
+    wide = hosts.where("_open AND _shards > 1")
+    runs = pages.sparkSession.createDataFrame([], "shard string, run long")
+    if not wide.isEmpty():
+        runs = stash(frequent_runs(join_hot(rows, wide, "host", "_n", least=50, how="inner").select("host", shard.alias("shard"), "html")), "runs")
+    out = parsed.groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(_host_texts, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -187,6 +187,19 @@ def test_extract(spark):
     assert page_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [1_000_000, 2000])
+def test_runs_of_the_whole_host(spark, monkeypatch, shard):
+    """A notice on 3 of 100 pages goes however the host is dealt into shards; one on 2 pages stays."""
+    monkeypatch.setattr(page_text, "SHARD_BYTES", shard)
+    rnd = random.Random(14)
+    unique = [" ".join(rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(30)) for _ in range(100)]
+    notice, twice = "this old notice is on just three pages of the whole host", "that other notice is on no more than two pages of it"
+    more = {i: f"<div>{notice}</div>" for i in (3, 40, 77)} | {i: f"<div>{twice}</div>" for i in (5, 50)}
+    pages = [(i, f"http://h.org/{i}", f"<div>{u}</div>" + more.get(i, "")) for i, u in enumerate(unique)]
+    got = {r.page_id: r.text for r in page_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: u + ("\n" + twice if i in (5, 50) else "") for i, u in enumerate(unique)}
+
+
 # 5
 
 
