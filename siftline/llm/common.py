@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,19 +15,27 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows and bytes of one Arrow batch: what a Python worker holds of its input at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Rows of a hot key that stay together in join_salted().
+SALT_ROWS = 20_000
 #: Most keys that a join handles map-side as hot ones; times a key's size this bounds what is broadcast.
 HOT_KEYS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context.
+
+    Where neither is set, a local session (tests) gets a temporary folder; on a cluster that is an error, for executors would not
+    see such a folder.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftline-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siftline-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -64,6 +73,30 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(), over batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes: the session's bounds are lowered to these."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"[^0-9-]", "", df.sparkSession.conf.get(key)))
+        if not 0 < now <= most:
+            df.sparkSession.conf.set(key, str(most))
+    return df.mapInArrow(function, schema)
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, per: int = SALT_ROWS) -> DataFrame:
+    """left ⋈ right on key; the rows of a key that more than `per` rows of left hold are dealt over salts, and right's rows repeated.
+
+    At most HOT_KEYS keys are salted, all others hold at most 1/HOT_KEYS of left each. left is read twice, so pass a stash.
+    """
+    counts = left.groupBy(key).agg(F.ceil(F.count("*") / per).cast("int").alias("_salts")).where("_salts > 1")
+    hot = stash(counts.orderBy(F.desc("_salts"), key).limit(HOT_KEYS), "hot", codec="uncompressed")
+    if hot.isEmpty():
+        return left.join(right, key)
+    own = F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", own).drop("_salts")
+    each = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(each, [key, "_salt"]).drop("_salt")
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, least: int = 1000, how: str = "left") -> DataFrame:
     """left ⋈ right on key, right having one row per key and in `weight` how many left rows hold it.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.common import join_hot, new_path, remove, stash
+from siftline.llm.common import join_hot, map_arrow, new_path, remove, stash
 
 #: Shortest key, in code points, and least number of documents of a key that is boilerplate.
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Runs of one level that are merged into one of the next; batches in which a corpus is added.
-FANOUT, BATCHES = 4, 4
+FANOUT, BATCHES = 2, 6
+#: Lines of the corpus for each bucket of a run, and most buckets.
+BUCKET_LINES, MOST_BUCKETS = 250_000, 50_000
 RUN = "digest binary, n_docs long, last_doc long"
 
 
@@ -45,72 +48,86 @@ def document_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN
             lots = pa.array([(i or 0) % batches for i in ids], pa.int32())
             yield pa.RecordBatch.from_arrays([lots, pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["batch", "doc_id", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "batch int, doc_id long, digest binary")
-
-
-def _merged(run: DataFrame) -> DataFrame:
-    return run.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), scan, "batch int, doc_id long, digest binary")
 
 
 class LineRuns:
-    """A store of line hashes in levels of runs; a run is (digest, n_docs, last_doc), sorted by digest within each of its files.
+    """A store of line keys in levels of sorted runs: digest, n_docs and last_doc, bucketed and sorted by digest.
 
-    add() merge-anti-joins a batch with the runs: keys that no run holds become a run of their own, what the batch adds to known
-    keys becomes a run of increments beside it. Once a level has `fanout` runs they are merged into one of the next level, so a
-    key is rewritten a logarithmic number of times. Runs are written through Spark in the shared folder and never changed.
+    Each key is in exactly one run. add() merge-anti-joins a batch with every run, bucket by bucket and without a shuffle of the
+    runs: the keys that no run holds become a run of level 0, and what the batch adds to known keys becomes a run of increments
+    beside them. Once a level has `fanout` runs they are merged into one of the next level, so a key is rewritten a logarithmic
+    number of times. keys() reads the keys from the runs and adds the increments up; without the anti-join it would give keys
+    twice. Runs are tables of the session's catalog with files in the shared folder; they are never changed, and close() drops them.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout = spark, path or new_path(spark, "line-runs"), fanout
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int = 8):
+        self.spark, self.path, self.fanout, self.buckets = spark, path or new_path(spark, "line-runs"), fanout, buckets
         self.levels: list[list[str]] = []
-        self.made = 0
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        self.made += 1
-        while len(self.levels) <= level:
-            self.levels.append([])
-        path = f"{self.path}/level{level}-{self.made:06d}"
-        run.select("digest", "n_docs", "last_doc").sortWithinPartitions("digest").write.option("compression", "zstd").parquet(path)
-        self.levels[level].append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        tables = [self.spark.read.schema(RUN).parquet(p) for p in paths]
-        return reduce(DataFrame.unionByName, tables) if tables else self.spark.createDataFrame([], RUN)
+        self.increments: list[list[str]] = []
+        self.merges = 0
+        self._name, self._made = f"siftline_{uuid.uuid4().hex}", 0
+
+    def _write(self, run: DataFrame) -> str:
+        self._made += 1
+        name = f"{self._name}_{self._made:06d}"
+        rows = run.select("digest", "n_docs", "last_doc").write.bucketBy(self.buckets, "digest").sortBy("digest")
+        rows.option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, f"{self.path}/{name}")
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        runs = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
+        return runs.groupBy("digest").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+
+    def _push(self, levels: list[list[str]], name: str, level: int = 0) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(name)
+        if len(levels[level]) >= self.fanout:
+            old, levels[level] = levels[level], []
+            self.merges += 1
+            self._push(levels, self._write(self._merged(old)), level + 1)
+            for n in old:
+                self._drop(n)
 
     def runs(self) -> list[str]:
-        return [p for level in self.levels for p in level]
-
-    def keys(self) -> DataFrame:
-        """One row per key: in how many documents it is, and the largest doc_id of them."""
-        return _merged(self._read(self.runs()))
+        return [n for level in self.levels for n in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """The rows of a batch whose digest no run holds."""
-        return batch.join(self._read(self.runs()).select("digest"), "digest", "left_anti")
+        return reduce(lambda b, n: b.join(self.spark.table(n).select("digest"), "digest", "left_anti"), self.runs(), batch)
 
     def add(self, lines: DataFrame) -> None:
         """Adds the lines (doc_id, digest; one row per document and key) of documents that were in no batch before."""
-        batch = stash(lines.groupBy("digest").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "line-batch")
-        known = bool(self.runs())
-        seen = self._read(self.runs()).select("digest")
-        new, more = self.unseen(batch), batch.join(seen, "digest", "left_semi")
-        self._write(new, 0)
-        if known:
-            self._write(more, 0)
-        remove(self.spark, batch.stash_path)
-        self.compact()
-
-    def compact(self) -> None:
-        level = 0
-        while level < len(self.levels):
-            if len(self.levels[level]) >= self.fanout * (1 if level else 2):  # two runs of each batch at level 0
-                old, self.levels[level] = self.levels[level], []
-                self._write(_merged(self._read(old)), level + 1)
-                for p in old:
-                    remove(self.spark, p)
-            level += 1
+        counted = lines.groupBy("digest").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        batch = self._write(counted.repartition(self.buckets, "digest"))
+        if not self.runs():
+            self._push(self.levels, batch)
+            return
+        fresh = self._write(self.unseen(self.spark.table(batch)))
+        known = self.spark.table(batch).join(self.spark.table(fresh).select("digest"), "digest", "left_anti")
+        self._push(self.increments, self._write(known))
+        self._push(self.levels, fresh)
+        self._drop(batch)
+
+    def keys(self) -> DataFrame:
+        """One row per key: in how many documents it is, and the largest doc_id of them."""
+        names = [n for level in self.increments for n in level]
+        runs = [self.spark.table(n) for n in self.runs()]
+        if not runs:
+            return self.spark.createDataFrame([], RUN)
+        if names:
+            more = self._merged(names).select("digest", F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last"))
+            runs = [r.join(more, "digest", "left").select("digest", (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc")) for r in runs]
+        return reduce(DataFrame.unionByName, runs)
 
     def close(self) -> None:
+        for n in [*self.runs(), *(n for level in self.increments for n in level)]:
+            self._drop(n)
         remove(self.spark, self.path)
 
 
@@ -126,7 +143,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     path = new_path(spark, "lines")
     document_lines(docs, batches, min_chars).write.option("compression", "uncompressed").partitionBy("batch").parquet(path)
     lines = spark.read.schema("doc_id long, digest binary, batch int").parquet(path)
-    store = LineRuns(spark)
+    store = LineRuns(spark, buckets=min(MOST_BUCKETS, 1 + lines.count() // BUCKET_LINES))
     for k in range(batches):
         store.add(lines.where(F.col("batch") == k))
     repeated = stash(store.keys().where(F.col("n_docs") >= min_docs), "line-repeated")
@@ -157,4 +174,4 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
             yield pa.RecordBatch.from_arrays([*cols[:-1], pa.array(before, pa.int64()), pa.array(lost, pa.int64())], names=schema.names)
 
     renamed = drops.withColumnRenamed("doc_id", "_gone_id").hint("shuffle_hash")
-    return kept.join(renamed, kept["doc_id"] == renamed["_gone_id"], "left").drop("_gone_id").mapInArrow(rebuild, schema)
+    return map_arrow(kept.join(renamed, kept["doc_id"] == renamed["_gone_id"], "left").drop("_gone_id"), rebuild, schema)

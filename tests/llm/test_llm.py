@@ -437,19 +437,62 @@ def test_lines(spark, docs, none):
     assert line_runs.drop_repeated_lines(docs).count() == docs.count() and line_runs.drop_repeated_lines(none).count() == 0
 
 
-def test_runs_compact(spark):
-    store = line_runs.LineRuns(spark, fanout=2)
-    want, last = Counter(), {}
+def line_batches(spark, batches=7):
     rnd = random.Random(8)
-    for batch in range(7):
-        lines = {(rnd.randrange(30), batch * 10 + rnd.randrange(10)) for _ in range(40)}
+    for batch in range(batches):
+        lines = {(rnd.randrange(60), batch * 10 + rnd.randrange(10)) for _ in range(60)}
+        yield lines, spark.createDataFrame([(i, bytes([k])) for k, i in lines], "doc_id long, digest binary")
+
+
+def test_runs_compact(spark):
+    store = line_runs.LineRuns(spark, fanout=2, buckets=3)
+    want, last, sizes = Counter(), {}, []
+    for lines, table in line_batches(spark):
         for k, i in lines:
             want[k] += 1
             last[k] = max(last.get(k, 0), i)
-        store.add(spark.createDataFrame([(i, bytes([k])) for k, i in lines], "doc_id long, digest binary"))
-    assert len(store.runs()) < 8 and len(store.levels) >= 3
+        store.add(table)
+        sizes.append([len(x) for x in store.levels])
+    assert sizes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1], [0, 1, 1], [1, 1, 1]] and store.merges > 4
+    held = [r.digest[0] for n in store.runs() for r in spark.table(n).collect()]
+    assert sorted(held) == sorted(want)  # every key in exactly one run
     assert {r.digest[0]: (r.n_docs, r.last_doc) for r in store.keys().collect()} == {k: (n, last[k]) for k, n in want.items()}
     assert [r.digest[0] for r in store.unseen(spark.createDataFrame([(b"\xff",), (bytes([next(iter(want))]),)], "digest binary")).collect()] == [255]
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siftline_")]
+
+
+def test_anti_join_decides(spark, monkeypatch):
+    """Without the anti-join, keys of several batches would be in several runs and be counted apart."""
+    monkeypatch.setattr(line_runs.LineRuns, "unseen", lambda self, batch: batch)
+    store = line_runs.LineRuns(spark, fanout=9, buckets=2)
+    for _, table in line_batches(spark, 3):
+        store.add(table)
+    keys = [r.digest for r in store.keys().collect()]
+    assert len(keys) > len(set(keys))
+    store.close()
+
+
+def test_merge_without_shuffle(spark):
+    store = line_runs.LineRuns(spark, fanout=9, buckets=3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _, table in line_batches(spark, 3):
+            store.add(table)
+        names = store.runs()
+        for df in (spark.table(names[0]).join(spark.table(names[1]).select("digest"), "digest", "left_anti"), store._merged(names)):
+            df.collect()
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().replace("ReusedExchange", "")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        store.close()
+
+
+def test_repeated_ids_count_as_rows(spark):
+    line = "a line that is long enough to count as boilerplate"
+    d = spark.createDataFrame([(1, line), (1, line), (2, line), (2, line), (3, line)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_dropped) for r in line_runs.drop_repeated_lines(d).collect()) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 0)]
 
 
 # 9
