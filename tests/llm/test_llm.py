@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and its edge cases."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -498,32 +499,56 @@ def test_repeated_ids_count_as_rows(spark):
 # 9
 
 
-def test_archive(spark, tmp_path):
-    pages = [(5, "http://a/5", "<p>x</p>"), (3, "http://a/3", "<p>x</p>"), (9, None, None), (8, "u\r\nv", ""), (4, "http://a/4", "é" * 10_000), (3, "http://a/3", "<p>x</p>"), (None, "n", "<p>x</p>"), (7, "q", "WARC/1.1\r\n\r\n")]
-    df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int")
+PAGES = [(5, "http://a/5", "<p>x</p>"), (3, "http://a/3", "<p>x</p>"), (9, None, None), (8, "u\r\nv", ""), (4, "http://a/4", "é" * 10_000), (3, "http://a/3", "<p>x</p>"), (None, "n", "<p>x</p>"), (7, "q", "WARC/1.1\r\n\r\n"), (11, "e", "\r\n"), (12, "e", "a\r\n\r"), (13, "e", "\r\n\r\n\r\nb\r\n\r\n"), (14, "e", "ab " * 200_000)]
+
+
+def test_archive(spark):
+    df = spark.createDataFrame([(*p, 0) for p in PAGES], "page_id long, url string, html string, digest int")
     path = warc_store.write_archive(df)
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_store.read_archive(spark, path).collect())
     want = Counter()
-    for i, _, h in pages:
+    for i, _, h in PAGES:
         b = (h or "").encode()
-        first = min(j for j, _, g in pages if j is not None and (g or "") == (h or ""))
+        first = min(j for j, _, g in PAGES if j is not None and (g or "") == (h or ""))
         want[i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == first else "revisit", None if i == first else first] += 1
     assert got == want
-    assert spark.read.parquet(f"{path}/payloads").count() == 4
-    texts = {r.header.split("\r\n")[2]: r.html for r in warc_store.records(spark, path).collect()}
-    assert texts["WARC-Record-ID: <urn:page:4>"] == "é" * 10_000
-    warc_store.export_warc(spark, path, str(tmp_path / "w"), "none")
-    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
-    n = 0
+    assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for _, _, h in PAGES})
+    empty = warc_store.write_archive(df.limit(0))
+    assert warc_store.read_archive(spark, empty).count() == 0
+
+
+def test_warc_files(spark, tmp_path):
+    """The files hold every record, exactly framed; what a plain parser and read_warc() find in them are the original pages."""
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    folder = warc_store.export_warc(spark, warc_store.write_archive(df), str(tmp_path / "w"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
+    seen = {}
     while data:  # records follow each other exactly
         head, _, rest = data.partition(b"\r\n\r\n")
         h = warc_store.parse_header(head.decode() + "\r\n\r\n")
         size = int(h["content-length"])
         assert rest[size : size + 4] == b"\r\n\r\n"
-        data, n = rest[size + 4 :], n + 1
-    assert n == len(pages)
-    empty = warc_store.write_archive(df.limit(0))
-    assert warc_store.read_archive(spark, empty).count() == 0
+        assert h["warc-block-digest"] == "sha256:" + hashlib.sha256(rest[:size]).hexdigest() and (size == 0 or h["warc-type"] == "response")
+        seen.setdefault(h["warc-record-id"], []).append((h["warc-type"], rest[:size].decode()))
+        data = rest[size + 4 :]
+    assert sum(map(len, seen.values())) == len(PAGES)
+    back = warc_store.read_warc(spark, folder, html=True).collect()
+    texts = {(r.page_id, r.html) for r in back if r.record_type == "response"}
+    assert texts == {(min(j for j, _, g in PAGES if j is not None and (g or "") == (h or "")), h or "") for _, _, h in PAGES}
+    assert seen["<urn:page:4>"] == [("response", "é" * 10_000)] and seen["<urn:page:->"] == [("revisit", "")]
+
+
+def test_damage_is_found(spark):
+    path = warc_store.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+    bad = spark.read.parquet(f"{path}/payloads").withColumn("packed", F.lit(zlib.compress(b"other")))
+    bad.select("digest", "first_id", "copies", "packed").write.parquet(f"{path}/damaged/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{path}/damaged/headers")
+    with pytest.raises(Exception, match="damaged"):
+        warc_store.records(spark, f"{path}/damaged").collect()
+    parser = warc_store.Records()
+    assert list(parser.feed(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab")) == []
+    with pytest.raises(ValueError, match="cut off"):
+        parser.close()
 
 
 def test_short_payloads_are_responses(spark):
