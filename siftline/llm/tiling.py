@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.llm.common import join_salted, map_arrow, stash
+
 #: Shortest tile in words; share of an item's words that tiles must cover to call a document contaminated.
 LEAST, THRESHOLD = 5, 0.5
-#: Bytes of benchmark text that are held at once; a larger benchmark is worked through in blocks of about this size.
-BLOCK_BYTES = 4_000_000
+#: Bits of the filter over the benchmark's seeds for each seed, and at most: what is broadcast is MOST_BITS / 8 bytes or less.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Candidate items that are tiled against one text at once.
+CHUNK_ITEMS = 1000
 #: Seed hits of one pair beyond which matches are searched row by row, in memory that grows with the text alone.
 MANY_HITS = 2_000_000
 
@@ -29,8 +33,9 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_ids(tokens: list[bytes]) -> np.ndarray:
-    """A 64-bit id per word, the same for equal words within one process."""
-    return np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
+    """A 64-bit id per word, of two checksums: the same for equal words in all processes."""
+    low, high = (np.fromiter(map(f, tokens), np.uint64, len(tokens)) for f in (zlib.crc32, zlib.adler32))
+    return low | high << np.uint64(32)
 
 
 def window_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -117,92 +122,162 @@ def shared_windows(of_item: np.ndarray, of_doc: np.ndarray) -> tuple[np.ndarray,
     return order[np.repeat(lo, n) + within], at_doc
 
 
-class Seeds:
-    """The windows of a block of benchmark items, to find which items a text shares a window with."""
-
-    FILTER_BITS = 22
-
-    def __init__(self, items: list[tuple[int | None, str]], least: int):
-        self.least = least
-        self.ids = [i for i, _ in items]
-        self.words = [word_ids(words(t)) for _, t in items]
-        self.windows = [window_hashes(w, least) for w in self.words]
-        owner = np.repeat(np.arange(len(items)), [len(w) for w in self.windows])
-        seeds = np.concatenate([*self.windows, np.empty(0, np.uint64)])
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owner = seeds[order], owner[order]
-        self.filter = np.zeros(1 << self.FILTER_BITS, bool)
-        self.filter[self._slot(self.seeds)] = True
-
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.FILTER_BITS)
-
-    def items_of(self, windows: np.ndarray) -> list[int]:
-        some = windows[self.filter[self._slot(windows)]]
-        lo, hi = np.searchsorted(self.seeds, some, "left"), np.searchsorted(self.seeds, some, "right")
-        found = set()
-        for a, b in set(zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True)):
-            found.update(self.owner[a:b].tolist())
-        return sorted(found)
-
-    def coverage(self, text: str | None, threshold: float) -> list[tuple[float, int | None]]:
-        """(coverage, item_id) of each item that shares a window with the text; items that cannot reach the threshold are left out."""
-        doc = word_ids(words(text))
-        w = window_hashes(doc, self.least)
-        out = []
-        for k in self.items_of(w) if len(w) else ():
-            item = self.words[k]
-            # A tile is made of shared windows, so the words that these cover bound the coverage from above.
-            shared = np.isin(self.windows[k], w)
-            most = np.convolve(shared, np.ones(self.least, int)) > 0
-            if most.sum() < threshold * len(item):
-                continue
-            out.append((sum(n for n, _, _ in tile(item, doc, self.least)) / len(item), self.ids[k]))
-        return out
-
-
-def benchmark_blocks(bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """bench in parts of about block_bytes of text each, so that what is broadcast at once is bounded whatever the benchmark's size."""
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    return [bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
-
-
-def score_contamination(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def seeds_of(ids: np.ndarray, k: int) -> np.ndarray:
+    """The windows of k words as mixed 64-bit hashes."""
+    h = window_hashes(ids, k) + np.uint64(k)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def telling(counts: np.ndarray, places: np.ndarray, k: int, size: int, threshold: float) -> np.ndarray:
+    """Which of an item's windows need be looked up: the most frequent ones are left out, as many as cover less than `threshold` of
+    its words, for a text that shares none but these cannot reach it."""
+    keep = np.ones(len(places), bool)
+    covered = np.zeros(size, bool)
+    for w in np.argsort(-counts, kind="stable").tolist():
+        covered[places[w] : places[w] + k] = True
+        if covered.sum() >= threshold * size:
+            break
+        keep[w] = False
+    return keep
+
+
+_ITEM = "_item long, item_id long, _k int, _words binary"
+
+
+def bench_items(bench: DataFrame, least: int) -> DataFrame:
+    """_item (a number of its own), item_id, _k (words of its windows: `least`, or all of a shorter item) and _words (ids) of every
+    row of bench that has words."""
+
+    def run(batches):
+        for b in batches:
+            found = [word_ids(words(x)) for x in b.column(2).to_pylist()]
+            good = pa.array([len(w) > 0 for w in found], pa.bool_())
+            cols = [b.column(0), b.column(1), pa.array([min(least, len(w)) for w in found], pa.int32()), pa.array([w.tobytes() for w in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["_item", "item_id", "_k", "_words"]).filter(good)
+
+    rows = bench.select(F.monotonically_increasing_id().alias("_item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return stash(map_arrow(rows, run, _ITEM), "bench-items")
+
+
+def bench_seeds(items: DataFrame, threshold: float) -> DataFrame:
+    """_seed, _item: the windows by which texts are joined with items."""
+
+    def cut(batches):
+        for b in batches:
+            for item, k, w in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
+                h, at = np.unique(seeds_of(np.frombuffer(w, np.uint64), k), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(pa.scalar(item, pa.int64()), len(h)), pa.array(at.astype(np.int32))], names=["_seed", "_item", "_at"])
+
+    def choose(batches):
+        for b in batches:
+            for item, k, size, rows in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                h, at, n = (np.array([r[c] for r in rows], np.int64) for c in ("_seed", "_at", "n"))
+                keep = telling(n, at, k, size, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.repeat(pa.scalar(item, pa.int64()), int(keep.sum()))], names=["_seed", "_item"])
+
+    each = stash(map_arrow(items, cut, "_seed long, _item long, _at int"), "bench-windows")
+    counted = join_salted(each, each.groupBy("_seed").agg(F.count("*").alias("n")), "_seed")
+    of_item = counted.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("_at", "_seed", "n"))).alias("_rows"))
+    sized = items.select("_item", "_k", (F.octet_length("_words") / 8).cast("int").alias("_size")).join(of_item, "_item")
+    return stash(map_arrow(sized.select("_item", "_k", "_size", "_rows"), choose, "_seed long, _item long"), "bench-seeds")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bit for each hash of a seed, in bytes; a text's window without its bit is no seed."""
+    bits = 1 << 16
+    n = seeds.count()
+    while bits < min(MOST_BITS, n * BITS_EACH):
+        bits <<= 1
+    slot = F.expr(f"_seed & {bits - 1}L")
+    sums = seeds.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((_seed & {bits - 1}L) & 63 AS INT))")).alias("b")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[sums["w"].to_numpy()] = sums["b"].to_numpy()
+    return table.view(np.uint8)
+
+
+def in_filter(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    slot = h & np.int64(len(table) * 8 - 1)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def coverage(doc: np.ndarray, item: np.ndarray, least: int, threshold: float) -> float:
+    """Share of the item's words that tiles cover; 0 if it is below the threshold."""
+    k = min(least, len(item))
+    of_item, of_doc = window_hashes(item, k), window_hashes(doc, k)
+    # A tile is made of shared windows, so the words that these cover bound the coverage from above.
+    if (np.convolve(np.isin(of_item, of_doc), np.ones(k, int)) > 0).sum() < threshold * len(item):
+        return 0.0
+    share = sum(n for n, _, _ in tile(item, doc, k)) / len(item)
+    return share if share >= threshold else 0.0
+
+
+def score_contamination(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """docs with contaminated boolean, item_id long, coverage double and n_items long.
 
     coverage is the largest share of a benchmark item's words that tiles of at least `least` words cover, among the items that
     reach the threshold (0 and a null item_id if none does; ties go to the smallest item_id), n_items their number. Tiles may be
-    in any order, so reordered passages count. A null or empty text is clean; items of fewer than `least` words, or null, match
-    nothing, and an empty benchmark leaves all documents clean. Columns of these four names in docs are replaced.
+    in any order, so reordered passages count. An item of fewer than `least` words is matched as a whole. A null or empty text is
+    clean, null items and items without a word match nothing, and an empty benchmark leaves all documents clean. Rows that repeat
+    a doc_id or an item_id are rows of their own. Columns of these four names in docs are replaced.
+
+    Texts and items are joined on seeds, the windows that they share. A filter of bounded size over the benchmark's seeds, which is
+    all that is broadcast, tells in one pass which texts have any: the others leave as they are, without a shuffle.
     """
-    out = docs.drop("contaminated", "item_id", "coverage", "n_items")
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in out.schema.fields), T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_items", T.LongType())])
-    at = out.columns.index("text")
-    out = out.withColumns({"item_id": F.lit(None).cast("long"), "coverage": F.lit(0.0), "n_items": F.lit(0).cast("long")})
-
-    def scan(held):
-        def run(batches):
-            seeds = Seeds(held.value, least)
-            for b in batches:
-                items, cover, n = (c.to_pylist() for c in b.columns[-3:])
-                for k, x in enumerate(b.column(at).to_pylist()):
-                    found = [f for f in seeds.coverage(x, threshold) if f[0] >= threshold]
-                    if found:
-                        n[k] += len(found)
-                        own = [(cover[k], items[k])] if n[k] > len(found) else []
-                        cover[k], items[k] = min(own + found, key=lambda f: (-f[0], f[1] is None, f[1]))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(items, pa.int64()), pa.array(cover, pa.float64()), pa.array(n, pa.int64())], names=schema.names)
-
-        return run
-
-    sc = docs.sparkSession.sparkContext
-    for block in benchmark_blocks(bench.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL"), block_bytes):
-        out = out.mapInArrow(scan(sc.broadcast([tuple(r) for r in block.collect()])), schema)
-    return out.withColumn("contaminated", F.col("n_items") > 0)
+    spark = docs.sparkSession
+    own = docs.drop("contaminated", "item_id", "coverage", "n_items")
+    items = bench_items(bench, least)
+    seeds = bench_seeds(items, threshold)
+    sizes = [r[0] for r in items.select("_k").distinct().collect()]  # at most `least` numbers
+    held = spark.sparkContext.broadcast(seed_filter(seeds))
+    at = own.columns.index("text")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in own.schema.fields), T.StructField("_seeds", T.ArrayType(T.LongType()))])
+
+    def scan(batches):
+        table = held.value
+        for b in batches:
+            out = []
+            for x in b.column(at).to_pylist():
+                ids = word_ids(words(x))
+                found = [np.unique(h[in_filter(h, table)]) for h in (seeds_of(ids, k) for k in sizes)]
+                out.append(np.concatenate(found) if found else None)
+            sized = np.cumsum([0, *(0 if x is None else len(x) for x in out)])
+            flat = np.concatenate([np.empty(0, np.int64), *(x for x in out if x is not None)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(sized, pa.int32()), pa.array(flat))], names=schema.names)
+
+    scanned = map_arrow(own, scan, schema)
+    none = {"item_id": F.lit(None).cast("long"), "coverage": F.lit(0.0), "n_items": F.lit(0).cast("long")}
+    clean = scanned.where("size(_seeds) = 0").drop("_seeds").withColumns(none)
+    some = stash(scanned.where("size(_seeds) > 0").withColumn("_row", F.monotonically_increasing_id()), "seeded-docs")
+    hits = stash(some.select("_row", F.explode("_seeds").alias("_seed")), "seed-hits")
+    pairs = join_salted(hits, seeds, "_seed").select("_row", "_item").distinct()
+    pairs = stash(pairs, "tile-pairs")
+    many = pairs.groupBy("_row").agg(F.ceil(F.count("*") / CHUNK_ITEMS).cast("int").alias("_chunks"))
+    chunked = join_salted(pairs, items, "_item").join(many, "_row").withColumn("_chunk", F.pmod(F.xxhash64("_item"), "_chunks"))
+    lists = chunked.groupBy("_row", "_chunk").agg(F.collect_list(F.struct("item_id", "_words")).alias("_items"))
+
+    def tiles(batches):
+        for b in batches:
+            rows = []
+            for row, x, found in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                doc = word_ids(words(x))
+                scored = [(c, i["item_id"]) for i in found if (c := coverage(doc, np.frombuffer(i["_words"], np.uint64), least, threshold))]
+                if scored:
+                    best = min(scored, key=lambda f: (-f[0], f[1] is None, f[1]))
+                    rows.append((row, best[0], best[1], len(scored)))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["_row", "coverage", "item_id", "n"])
+
+    found = map_arrow(some.select("_row", "text").join(lists, "_row").select("_row", "text", "_items"), tiles, "_row long, coverage double, item_id long, n long")
+    best = F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item_id").isNull().alias("z"), "item_id")).alias("b")
+    judged = stash(found.groupBy("_row").agg(best, F.sum("n").alias("n_items")).select("_row", "b.item_id", (-F.col("b.c")).alias("coverage"), "n_items"), "tile-scores")
+    rest = some.drop("_seeds").join(judged, "_row", "left").drop("_row")
+    rest = rest.select(*own.columns, "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
+    return clean.unionByName(rest).withColumn("contaminated", F.col("n_items") > 0)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """The clean rows of docs, with their own columns."""
+    """The clean rows of docs, with their own columns; all cases as in score_contamination()."""
     own = [c for c in docs.columns if c not in ("contaminated", "item_id", "coverage", "n_items")]
     return score_contamination(docs, bench, threshold, least).where("NOT contaminated").select(*own)

@@ -588,17 +588,48 @@ def test_tiles(monkeypatch):
             assert tiling.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3) == brute_tiles(a, b, 3)
 
 
+def brute_coverage(text, item, least=tiling.LEAST):
+    a, b = tiling.words(item), tiling.words(text)
+    return sum(n for n, _, _ in brute_tiles(a, b, min(least, len(a)))) / len(a) if a else 0
+
+
 def test_contamination(spark, docs, none):
     rnd = random.Random(12)
     words = lambda n: " ".join(rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n))
-    bench = [(k, words(30)) for k in range(6)] + [(10, None), (11, "too short"), (12, "")]
+    template = words(12)
+    bench = [(k, words(30)) for k in range(6)] + [(10, None), (11, "too short"), (12, ""), (13, " . "), (11, "too short")]
+    bench += [(20 + k, template + " " + words(13 + k)) for k in range(8)]  # items that share less than half of their words
+    bench += [(40, words(6) + " " + words(6)), (None, words(20))]
     w = bench[1][1].split()
-    hit = {1: words(50) + " " + bench[0][1].upper() + ". " + words(20), 2: words(10) + " ".join(w[20:] + ["xx"] + w[10:20] + ["yy"] + w[:10]), 3: words(40) + " ".join(bench[2][1].split()[:10])}
-    d = spark.createDataFrame([(i, t, "o") for i, t in hit.items()] + [(4, None, None), (5, "", ""), (6, words(300), "")], "doc_id long, text string, coverage string")
+    hit = {1: words(50) + " " + bench[0][1].upper() + ". " + words(20), 2: words(10) + " ".join(w[20:] + ["xx"] + w[10:20] + ["yy"] + w[:10]), 3: words(40) + " ".join(bench[2][1].split()[:10]), 7: "this is Too, short!", 8: words(9) + " " + template + " " + words(9), 9: bench[13][1] + " " + template, 10: " ".join(t for _, t in bench if t), 11: bench[-1][1]}
+    for k in range(12, 60):  # pieces of items of any size, in any order
+        parts = [words(rnd.randrange(1, 8)) for _ in range(3)]
+        for _ in range(rnd.randrange(1, 5)):
+            t = (rnd.choice([t for _, t in bench if t]) + " .").split()
+            i = rnd.randrange(len(t))
+            parts.insert(rnd.randrange(len(parts)), " ".join(t[i : i + rnd.randrange(4, 25)]))
+        hit[k] = " ".join(parts)
+    data = [(i, t, "o") for i, t in hit.items()] + [(4, None, None), (5, "", ""), (6, words(300), ""), (1, hit[1], None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, coverage string")
     b = spark.createDataFrame(bench, "item_id long, text string")
-    for block in (tiling.BLOCK_BYTES, 100):
-        got = rows(tiling.score_contamination(d, b, block_bytes=block))
-        assert {i: (r.contaminated, r.item_id) for i, r in got.items()} == {1: (True, 0), 2: (True, 1), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None)}
-        assert got[1].coverage == 1.0 and got[2].coverage > 0.9
-    assert sorted(r.doc_id for r in tiling.decontaminate(d.drop("coverage"), b).collect()) == [3, 4, 5, 6]
+    want = Counter()
+    for i, t, _ in data:
+        found = sorted((-c, j is None, j or 0) for j, x in bench if (c := brute_coverage(t, x)) >= 0.5)
+        want[i, len(found), (None if found[0][1] else found[0][2]) if found else None, round(-found[0][0], 9) if found else 0] += 1
+    got = tiling.score_contamination(d, b).collect()
+    assert Counter((r.doc_id, r.n_items, r.item_id, round(r.coverage, 9)) for r in got) == want
+    assert sum(r.contaminated for r in got) > 15 and {r.doc_id: r.contaminated for r in got}[8] is False
+    kept = Counter(r.doc_id for r in tiling.decontaminate(d.drop("coverage"), b).collect())
+    assert kept == Counter(r.doc_id for r in got if not r.contaminated)
     assert tiling.score_contamination(docs, b.limit(0)).where("contaminated").count() == 0 and tiling.score_contamination(none, b).count() == 0
+    assert tiling.score_contamination(docs, b).count() == docs.count()
+
+
+def test_telling_windows():
+    rnd = random.Random(15)
+    for _ in range(300):
+        n, k = rnd.randrange(5, 40), 5
+        places, counts = np.arange(n - k + 1), np.array([rnd.randrange(1, 9) for _ in range(n - k + 1)])
+        keep = tiling.telling(counts, places, k, n, 0.5)
+        left = {p + o for p in places[~keep].tolist() for o in range(k)}
+        assert len(left) < 0.5 * n and keep.any()
