@@ -16,7 +16,7 @@ from siftline.llm.common import join_salted, map_arrow, stash
 #: Shortest tile in words; share of an item's words that tiles must cover to call a document contaminated.
 LEAST, THRESHOLD = 5, 0.5
 #: Bits of the filter over the benchmark's seeds for each seed, and at most: what is broadcast is MOST_BITS / 8 bytes or less.
-BITS_EACH, MOST_BITS = 16, 1 << 27
+BITS_EACH, MOST_BITS = 512, 1 << 27
 #: Candidate items that are tiled against one text at once.
 CHUNK_ITEMS = 1000
 #: Seed hits of one pair beyond which matches are searched row by row, in memory that grows with the text alone.
@@ -184,21 +184,24 @@ def bench_seeds(items: DataFrame, threshold: float) -> DataFrame:
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A bit for each hash of a seed, in bytes; a text's window without its bit is no seed."""
+    """Two bits for each seed, in bytes; a window that lacks one of its bits is no seed."""
     bits = 1 << 16
     n = seeds.count()
     while bits < min(MOST_BITS, n * BITS_EACH):
         bits <<= 1
-    slot = F.expr(f"_seed & {bits - 1}L")
-    sums = seeds.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((_seed & {bits - 1}L) & 63 AS INT))")).alias("b")).toArrow()
+    slots = seeds.select(F.explode(F.array(*(F.expr(f"shiftright(_seed, {by}) & {bits - 1}L") for by in (0, 32)))).alias("s"))
+    sums = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(s & 63 AS INT))")).alias("b")).toArrow()
     table = np.zeros(bits >> 6, np.int64)
     table[sums["w"].to_numpy()] = sums["b"].to_numpy()
     return table.view(np.uint8)
 
 
 def in_filter(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    slot = h & np.int64(len(table) * 8 - 1)
-    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    """Those of the hashes that the filter lets pass."""
+    for by in (0, 32):
+        slot = h >> by & np.int64(len(table) * 8 - 1)
+        h = h[table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1]
+    return h
 
 
 def coverage(doc: np.ndarray, item: np.ndarray, least: int, threshold: float) -> float:
@@ -239,7 +242,7 @@ def score_contamination(docs: DataFrame, bench: DataFrame, threshold: float = TH
             out = []
             for x in b.column(at).to_pylist():
                 ids = word_ids(words(x))
-                found = [np.unique(h[in_filter(h, table)]) for h in (seeds_of(ids, k) for k in sizes)]
+                found = [np.unique(in_filter(seeds_of(ids, k), table)) for k in sizes]
                 out.append(np.concatenate(found) if found else None)
             sized = np.cumsum([0, *(0 if x is None else len(x) for x in out)])
             flat = np.concatenate([np.empty(0, np.int64), *(x for x in out if x is not None)])
