@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -11,19 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import stash
+from siftline.llm.common import map_arrow, stash
 from siftline.llm.lengths import TOKENIZERS
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Training folds; rounds of expectation and maximisation; pseudo-count of each piece.
+#: Training folds; rounds of expectation and maximisation; pseudo-count of each symbol.
 FOLDS, HELD_OUT = 7, 2
 ROUNDS, SMOOTH = 3, 0.1
-#: Classes of the mixture, least share of rows of one of them, discount of a word's count in favour of the paths through pieces.
-CLASSES, LEAST_SHARE, DISCOUNT = 8, 0.01, 0.75
 #: Words that are scored map-side from a broadcast, as the most frequent ones; distinct words that a task counts before it emits.
 FREQUENT, FLUSH = 200_000, 300_000
-#: Longest piece in bytes; cells of a lattice that are held at once.
-LONGEST, CELLS = 16, 1 << 20
+#: Cells of a lattice that are held at once; longest word, in bytes, that is worked on together with others of its length.
+CELLS, TOGETHER = 1 << 20, 96
+#: Places of a long word whose pieces are looked up at once.
+SLAB = 1 << 14
 BUFFER = 200_000
 MARK = "▁"
 
@@ -42,9 +43,10 @@ def _hash(rows: np.ndarray) -> np.uint64:
 
 
 class Pieces:
-    """The vocabulary as byte strings (a leading space begins a word) with their rank, and a hash index over them.
+    """The vocabulary as byte strings (a leading space begins a word) with their scores, and a hash index over them.
 
-    Capitals never occur in lower-cased words and special or inner-space pieces never apply, so they are left out; all 256 single
+    The file scores a piece by its rank alone (0, -1, -2, ...), as merges have no probabilities; `start` takes the probability that
+    falls with the rank as words' frequencies do, 1 / (rank + 100), and the end of a text as a symbol of the last rank. Capitals never occur in lower-cased words and special or inner-space pieces never apply, so they are left out; all 256 single
     bytes are pieces, so every word has a segmentation.
     """
 
@@ -58,11 +60,11 @@ class Pieces:
                 continue
             p = model.id_to_piece(i)
             b = p.replace(MARK, " ").encode()
-            if len(b) <= LONGEST and MARK not in p[1:] and b.lower() == b:
+            if MARK not in p[1:] and b.lower() == b:
                 found[b] = min(i, found.get(b, i))
         self.pieces = list(found)
         ranks = np.array([found[p] for p in self.pieces], float)
-        start = 1 / (ranks + 100)
+        start = np.append(1 / (ranks + 100), 1 / (len(found) + 100))  # the last one: the end of a text
         self.start = np.log(start / start.sum())
         self.longest = max(map(len, self.pieces))
         h = np.array([_hash(np.frombuffer(p, np.uint8)) for p in self.pieces], np.uint64)
@@ -103,12 +105,12 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _by_length(words: list[bytes]):
+def _by_length(words: list[bytes], longest: int):
     """Indices and byte matrices of words of equal length, each word with its leading space, in parts of bounded lattices."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(sizes).tolist():
+    for n in np.unique(sizes[sizes <= TOGETHER]).tolist():
         at = np.flatnonzero(sizes == n)
-        most = max(1, CELLS // ((n + 1) * min(n + 1, LONGEST)))
+        most = max(1, CELLS // ((n + 1) * min(n + 1, longest)))
         for a in range(0, len(at), most):
             part = at[a : a + most]
             rows = np.frombuffer(b"".join(b" " + words[k] for k in part.tolist()), np.uint8).reshape(len(part), n + 1)
@@ -138,77 +140,135 @@ def _sum_logs(parts: list[np.ndarray]) -> np.ndarray:
     return top + np.log(np.exp(x - np.where(np.isfinite(top), top, 0)).sum(axis=0))
 
 
-def forward(rows: np.ndarray, arcs: dict, scores: np.ndarray) -> list[np.ndarray]:
+def forward(rows: np.ndarray, arcs: dict, scores: np.ndarray, longest: int) -> list[np.ndarray]:
     """Log probability of all segmentations of each prefix; the last is that of the word."""
     alpha = [np.zeros(len(rows))]
     for j in range(1, rows.shape[1] + 1):
-        alpha.append(_sum_logs([alpha[i] + scores[arcs[i, j]] for i in range(max(0, j - LONGEST), j) if (i, j) in arcs]))
+        alpha.append(_sum_logs([alpha[i] + scores[arcs[i, j]] for i in range(max(0, j - longest), j) if (i, j) in arcs]))
     return alpha
 
 
-def backward(rows: np.ndarray, arcs: dict, scores: np.ndarray) -> list[np.ndarray]:
+def backward(rows: np.ndarray, arcs: dict, scores: np.ndarray, longest: int) -> list[np.ndarray]:
     length = rows.shape[1]
     beta = [np.zeros(len(rows))] * (length + 1)
     for i in range(length - 1, -1, -1):
-        beta[i] = _sum_logs([beta[j] + scores[arcs[i, j]] for j in range(i + 1, min(length, i + LONGEST) + 1) if (i, j) in arcs])
+        beta[i] = _sum_logs([beta[j] + scores[arcs[i, j]] for j in range(i + 1, min(length, i + longest) + 1) if (i, j) in arcs])
     return beta
 
 
+def _long_arcs(word: bytes, vocab: Pieces, step: int = 1):
+    """For each place of a long word, forwards or backwards: (place, lengths, pieces) of the pieces that begin there."""
+    data = np.frombuffer(b" " + word, np.uint8).astype(np.uint64) + np.uint64(1)
+    n = len(data)
+    for a in range(0, n, SLAB)[::step]:
+        z = min(n, a + SLAB)
+        h = np.zeros(z - a, np.uint64)
+        at, size, piece = [], [], []
+        with np.errstate(over="ignore"):
+            for k in range(vocab.longest):
+                m = min(z, n - k) - a  # places with k + 1 bytes
+                if m <= 0:
+                    break
+                h = (h[:m] + data[a + k : a + k + m]) * _BASE
+                h ^= h >> np.uint64(29)
+                ids = vocab.find(h)
+                good = np.flatnonzero(ids >= 0)
+                at.append(good)
+                size.append(np.full(len(good), k + 1))
+                piece.append(ids[good])
+        at, size, piece = map(np.concatenate, (at, size, piece))
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(z - a + 1)).tolist()
+        size, piece = size[order].tolist(), piece[order].tolist()
+        for p in range(z - a)[::step]:
+            x, y = edges[p], edges[p + 1]
+            yield a + p, size[x:y], piece[x:y]
+
+
+def long_forward(word: bytes, scores: list[float], vocab: Pieces) -> array:
+    """forward() of one long word, in time and memory that grow with its length alone: log probability of each prefix."""
+    log, exp = math.log, math.exp
+    alpha = array("d", [-math.inf]) * (len(word) + 2)
+    alpha[0] = 0.0
+    for i, sizes, pieces in _long_arcs(word, vocab):
+        a = alpha[i]
+        if a == -math.inf:
+            continue
+        for n, p in zip(sizes, pieces, strict=True):
+            x, y = a + scores[p], alpha[i + n]
+            alpha[i + n] = x if y == -math.inf else x + log(1 + exp(y - x)) if x >= y else y + log(1 + exp(x - y))
+    return alpha
+
+
+def long_counts(word: bytes, count: float, scores: list[float], vocab: Pieces, out: np.ndarray) -> None:
+    """Adds to out the expected counts of pieces in one long word."""
+    alpha = long_forward(word, scores, vocab)
+    whole, exp, log = alpha[-1], math.exp, math.log
+    beta = array("d", [-math.inf]) * len(alpha)
+    beta[-1] = 0.0
+    for i, sizes, pieces in _long_arcs(word, vocab, -1):
+        terms = [scores[p] + beta[i + n] for n, p in zip(sizes, pieces, strict=True)]
+        top = max(terms, default=-math.inf)
+        if top > -math.inf:
+            beta[i] = top + log(sum(exp(t - top) for t in terms))
+        for t, p in zip(terms, pieces, strict=True):
+            out[p] += count * exp(alpha[i] + t - whole)
+
+
 def _padded(scores: np.ndarray) -> np.ndarray:
     return np.append(scores, _NONE)  # index -1: no piece
 
 
 def word_scores(words: list[bytes], scores: np.ndarray, vocab: Pieces) -> np.ndarray:
-    """Natural log of each word's marginal probability over pieces, a row for each class (row of scores)."""
-    out = np.empty((len(scores), len(words)))
-    for at, rows in _by_length(words):
-        arcs = _arcs(rows, vocab)
-        for z, own in enumerate(scores):
-            out[z, at] = forward(rows, arcs, _padded(own))[-1]
+    """Natural log of each word's marginal probability over all its segmentations into pieces."""
+    out = np.empty(len(words))
+    table = _padded(scores)
+    for at, rows in _by_length(words, vocab.longest):
+        out[at] = forward(rows, _arcs(rows, vocab), table, vocab.longest)[-1]
+    listed = scores.tolist()
+    for k, w in enumerate(words):
+        if len(w) > TOGETHER:
+            out[k] = long_forward(w, listed, vocab)[-1]
     return out
 
 
 def expected_counts(words: list[bytes], counts: np.ndarray, scores: np.ndarray, vocab: Pieces) -> np.ndarray:
     """How often each piece is expected over all segmentations of all words, each word `counts` times."""
-    out = np.zeros(len(vocab.pieces) + 1)
+    out = np.zeros(len(vocab.start) + 1)
     table = _padded(scores)
-    for at, rows in _by_length(words):
+    for at, rows in _by_length(words, vocab.longest):
         arcs = _arcs(rows, vocab)
-        alpha, beta = forward(rows, arcs, table), backward(rows, arcs, table)
+        alpha, beta = forward(rows, arcs, table, vocab.longest), backward(rows, arcs, table, vocab.longest)
         for (i, j), ids in arcs.items():
             w = counts[at] * np.exp(alpha[i] + table[ids] + beta[j] - alpha[-1])
             out += np.bincount(ids + 1, w, len(out))
+    listed = scores.tolist()
+    for w, c in zip(words, counts.tolist(), strict=True):
+        if len(w) > TOGETHER:
+            long_counts(w, c, listed, vocab, out[1:])
     return out[1:]
 
 
-def text_classes(docs: DataFrame) -> list[str | None]:
-    """The classes of the mixture: the most frequent languages of training rows, at most CLASSES and each with LEAST_SHARE."""
-    counts = docs.where("NOT _held").groupBy("lang").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r["lang"] for r in counts.where(F.col("n") >= LEAST_SHARE * total).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()]
-
-
-def count_words(docs: DataFrame, classes: int) -> DataFrame:
-    """word binary, c0, c1, ... (tokens in training rows of each class), t (in all rows) of docs (text, _z: class, -1 if held out)."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """word binary, c (tokens in training rows), t (in all rows) of docs (text, _held)."""
 
     def count(batches):
         c: Counter = Counter()
 
         def emit():
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.binary()), pa.array([k[1] for k in c], pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "z", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.binary()), pa.array([k[1] for k in c], pa.bool_()), pa.array(list(c.values()), pa.int64())], names=["word", "held", "n"])
 
         for b in batches:
-            for x, z in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
+            for x, held in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
                 for w, k in Counter(words_of(x.as_py())).items():
-                    c[w, z] += k
+                    c[w, held] += k
                 if len(c) >= FLUSH:
                     yield emit()
                     c.clear()
         yield emit()
 
-    rows = docs.select("text", "_z").mapInArrow(count, "word binary, z int, n long")
-    own = [F.sum(F.when(F.col("z") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
-    return rows.groupBy("word").agg(*own, F.sum("n").alias("t"))
+    rows = map_arrow(docs.select("text", "_held"), count, "word binary, held boolean, n long")
+    return rows.groupBy("word").agg(F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("c"), F.sum("n").alias("t"))
 
 
 def _buffered(batches, columns: int):
@@ -224,27 +284,30 @@ def _buffered(batches, columns: int):
         yield held
 
 
-def fit_pieces(words: DataFrame, classes: int, folder: str = TOKENIZERS, name: str = VOCABULARY, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural log probabilities of the pieces in each class, from the ranks of the existing vocabulary by expectation and
-    maximisation over all distinct training words of the class. Each round is one pass that sums a vector per class."""
+def fit_pieces(words: DataFrame, ends: int, folder: str = TOKENIZERS, name: str = VOCABULARY, rounds: int = ROUNDS) -> np.ndarray:
+    """Natural log probabilities of the pieces and, last, of the end: the scores of the existing vocabulary, fitted by expectation
+    and maximisation to all training tokens and `ends` ends. Each round is one pass over the distinct words that sums one vector.
+    """
     vocab = vocabulary(folder, name)
-    scores = np.stack([vocab.start] * classes)
+    scores = vocab.start
+    known = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
 
         def expect(batches, scores=scores):
             v = vocabulary(folder, name)
-            total = np.zeros((classes, len(v.pieces)))
-            for held in _buffered(batches, classes + 1):
-                for z in range(classes):
-                    own = [w for w, c in zip(held[0], held[z + 1], strict=True) if c]
-                    total[z] += expected_counts(own, np.ones(len(own)), scores[z], v)
-            z, piece = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[z, piece])], names=["z", "piece", "n"])
-
-        sums = words.select("word", *(f"c{k}" for k in range(classes))).mapInArrow(expect, "z int, piece int, n double").groupBy("z", "piece").agg(F.sum("n").alias("n")).toArrow()
-        n = np.full(scores.shape, SMOOTH)
-        n[sums["z"].to_numpy(), sums["piece"].to_numpy()] += sums["n"].to_numpy()
-        scores = np.log(n / n.sum(axis=1, keepdims=True))
+            total = np.zeros(len(v.start))
+            for held in _buffered(batches, 2):
+                total += expected_counts(held[0], np.array(held[1], float), scores, v)
+            piece = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(total[piece])], names=["piece", "n"])
+
+        sums = map_arrow(known, expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        n = np.full(len(scores), SMOOTH)
+        n[sums["piece"].to_numpy()] += sums["n"].to_numpy()
+        n[-1] += ends
+        if not len(sums) and not ends:
+            break
+        scores = np.log(n / n.sum())
     return scores
 
 
@@ -258,67 +321,43 @@ def score_texts(docs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULAR
     Tokens are the lower-cased words of a text and one end. Both models learn from the rows whose crc32(doc_id) is not HELD_OUT
     modulo FOLDS, rows without a doc_id among them. base_score adds log10((c + 1) / (N + V + 1)).
 
-    score is the log10 probability of the text, marginal over the text's class (the languages of the training rows; that of the
-    text itself is not looked at) and over all segmentations of its words. In a class, the lattice of a word has one arc for the
-    whole word, weighted by its discounted training count, and the paths through pieces of the existing vocabulary, which share
-    the discounted mass. Piece probabilities are learnt per class, and the end is a symbol of its own, so the model is proper.
-    A null or empty text is its end alone; rows that repeat a doc_id are scored one by one; other columns are ignored. Without
-    training rows there is one class, pieces keep the scores of their ranks, the end has probability 1/2, and N and V are 0.
+    score is the log10 probability of the text, marginal over all segmentations of its words into pieces of the existing
+    vocabulary, with the end as a symbol beside the pieces. No piece spans two words, so the sum over segmentations is the product
+    of the words' sums, each found by the forward recursion over the word's lattice, whatever its length. A null or empty text is
+    its end alone; rows that repeat a doc_id are scored one by one; other columns are ignored. Without training rows pieces and end
+    keep the scores of their ranks, and N and V are 0.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("_held", held_out(F.col("doc_id")))
-    langs = text_classes(rows)
-    classes = len(langs) + 1  # the last one: all other languages
-    z = F.lit(classes - 1)
-    for k, lang in enumerate(langs):
-        z = F.when(F.col("lang").eqNullSafe(F.lit(lang)), k).otherwise(z)
-    rows = rows.withColumn("_z", F.when(F.col("_held"), -1).otherwise(z)).drop("lang")
-    c_names = [f"c{k}" for k in range(classes)]
-    words = stash(count_words(rows, classes), "lm-words")
-    ends = np.zeros(classes)
-    for r in rows.where("NOT _held").groupBy("_z").count().collect():
-        ends[r[0]] = r[1]
-    known = F.expr(" + ".join(c_names)) > 0
-    facts = words.agg(F.count(F.when(known, 1)).alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in c_names), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"v{c}") for c in c_names)).first()
-    n_z, v_z = np.array([facts[c] for c in c_names], float) + ends, np.array([facts[f"v{c}"] for c in c_names], float)
-    n, v = int(n_z.sum()), facts["v"] + int(ends.sum() > 0)
-    pieces = fit_pieces(words, classes, folder, name)
-    prior = (ends + (ends.sum() == 0)) / max(1.0, ends.sum() + classes * (ends.sum() == 0))
-    rest = np.where(n_z > 0, DISCOUNT * v_z / np.maximum(n_z, 1), 0.5)  # mass of the paths through pieces
-    end_z = np.log10(np.maximum(np.where(n_z > 0, ends / np.maximum(n_z, 1), 0.5), 1e-300))
-    less = math.log10(n + v + 1)
-    model = spark.sparkContext.broadcast((pieces, n_z, rest))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_held", held_out(F.col("doc_id")))
+    words = stash(count_words(rows), "lm-words")
+    ends = rows.where("NOT _held").count()
+    facts = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    n, v = facts["n"] + ends, facts["v"] + int(ends > 0)
+    pieces = fit_pieces(words, ends, folder, name)
+    less, ln10 = math.log10(n + v + 1), math.log(10)
+    model = spark.sparkContext.broadcast(pieces)
 
     def marginal(batches):
         vocab = vocabulary(folder, name)
-        scores, total, mass = model.value
-        for held in _buffered(batches, classes + 2):
-            c = np.array(held[1:-1], float)
-            part = word_scores(held[0], scores, vocab)
-            p = np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[:, None] + mass[:, None] * np.exp(part)
-            lp = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), np.log10(np.maximum(mass, 1e-300))[:, None] + part / math.log(10))
-            lp = lp.astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.binary()), pa.array(c.sum(axis=0).astype(np.int64)), pa.array(held[-1], pa.int64()), *(pa.array(x) for x in lp)], names=["word", "c", "t", *lp_names])
-
-    lp_names = [f"lp{k}" for k in range(classes)]
-    scored = stash(words.select("word", *c_names, "t").mapInArrow(marginal, "word binary, c long, t long, " + ", ".join(f"{x} float" for x in lp_names)), "lm-scored")
-    top = scored.orderBy(F.desc("t"), "word").limit(FREQUENT).drop("t").toArrow()
-    frequent = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy(), np.stack([top[x].to_numpy() for x in lp_names], 1)))
-    end_base, end_known = math.log10(ends.sum() + 1) - less, int(ends.sum() > 0)
-    sums = ["n_tokens", "n_known", "base_score", *lp_names]
+        for word, c, t in _buffered(batches, 3):
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(c, pa.int64()), pa.array(t, pa.int64()), pa.array(word_scores(word, model.value, vocab) / ln10)], names=["word", "c", "t", "lp"])
+
+    scored = stash(map_arrow(words, marginal, "word binary, c long, t long, lp double"), "lm-scored")
+    top = scored.where(F.octet_length("word") <= TOGETHER).orderBy(F.desc("t"), "word").limit(FREQUENT).drop("t").toArrow()
+    frequent = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy(), top["lp"].to_numpy()))
+    start = np.array([1, int(ends > 0), math.log10(ends + 1) - less, pieces[-1] / ln10])
+    sums = ["n_tokens", "n_known", "base_score", "score"]
 
     def first_pass(batches):
         listed, c, lp = frequent.value
-        index = {bytes(w): k for k, w in enumerate(listed)}
-        table = np.column_stack([np.ones(len(c)), c > 0, np.log10(c + 1.0) - less, lp.astype(float)])
-        start = np.array([1, end_known, end_base, *end_z])
+        index = {w: k for k, w in enumerate(listed)}
+        table = np.column_stack([np.ones(len(c)), c > 0, np.log10(c + 1.0) - less, lp])
         for b in batches:
-            row, word, times, totals, docs_, held_ = [], [], [], [], [], []
+            row, totals, docs_, held_ = [], [], [], []
             tail_row, tail_word, tail_times = [], [], []
             for i, x, doc, held in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                found = Counter(words_of(x.as_py()))
                 at, k, more = [], [], 0
-                for w, m in found.items():
+                for w, m in Counter(words_of(x.as_py())).items():
                     if (j := index.get(w)) is not None:
                         at.append(j)
                         k.append(m)
@@ -341,15 +380,12 @@ def score_texts(docs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULAR
 
     # A row's number ties its words together: one task makes them all, and they are written before they are used.
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    kinds = "_row long, word binary, k long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, " + ", ".join(f"{x} double" for x in lp_names)
-    parts = stash(numbered.select("_row", "text", "doc_id", "_held").mapInArrow(first_pass, kinds), "lm-parts")
+    kinds = "_row long, word binary, k long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    parts = stash(map_arrow(numbered.select("_row", "text", "doc_id", "_held"), first_pass, kinds), "lm-parts")
     # The words that are left are none of the most frequent, so none of them is a hot key.
     tail = parts.where("word IS NOT NULL").select("_row", "word", "k").join(scored.drop("t"), "word")
-    of_tail = [F.lit(0).cast("long"), F.when(F.col("c") > 0, F.col("k")).otherwise(0), F.col("k") * (F.log10(F.col("c") + 1) - F.lit(less)), *(F.col("k") * F.col(x).cast("double") for x in lp_names)]
+    of_tail = [F.lit(0).cast("long"), F.when(F.col("c") > 0, F.col("k")).otherwise(0), F.col("k") * (F.log10(F.col("c") + 1) - F.lit(less)), F.col("k") * F.col("lp")]
     tail = tail.select("_row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), *(e.alias(x) for e, x in zip(of_tail, sums, strict=True)))
     both = parts.where("word IS NULL").select("_row", "doc_id", "held_out", *sums).unionByName(tail)
     out = both.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(x).alias(x) for x in sums))
-    logs = [F.col(x) + F.lit(float(np.log10(max(p, 1e-300)))) for x, p in zip(lp_names, prior, strict=True)]
-    best = F.greatest(*logs) if classes > 1 else logs[0]
-    score = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in logs), F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

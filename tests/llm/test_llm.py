@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -204,27 +205,73 @@ def test_runs_of_the_whole_host(spark, monkeypatch, shard):
 # 5
 
 
-def test_lattice():
+def brute_word(word, scores):
+    """Probability of a word, summed over its segmentations by their ends."""
+    x = b" " + word
+    a = [1.0] + [0.0] * len(x)
+    for j in range(1, len(x) + 1):
+        a[j] = sum(a[i] * math.exp(scores[x[i:j]]) for i in range(j) if x[i:j] in scores)
+    return math.log(a[-1])
+
+
+def test_lattice(monkeypatch):
     v = lattice_lm.vocabulary()
     p = dict(zip(v.pieces, v.start))
+    words = [b"the", b"a", b"thandable", "été".encode(), bytes([255, 0, 7]), b"x" * 60, b"anding" * 12]
+
+    def slopes(words, counts):
+        e = lattice_lm.expected_counts(words, np.array(counts, float), v.start, v)
+        step = 1e-4
+        for piece in (b" th", b"e", b"able", b"nd"):
+            k = v.pieces.index(piece)
+            up = v.start.copy()
+            up[k] += step
+            slope = sum(c * (x - y) for c, x, y in zip(counts, lattice_lm.word_scores(words, up, v), lattice_lm.word_scores(words, v.start, v))) / step
+            assert e[k] == pytest.approx(slope, rel=1e-2, abs=1e-6)
+
+    assert np.allclose(lattice_lm.word_scores(words, v.start, v), [brute_word(w, p) for w in words])
+    slopes([*words[:3], words[-1]], [1, 2, 3, 4])
+    monkeypatch.setattr(lattice_lm, "TOGETHER", 2)  # all words one by one, in slabs of seven places
+    monkeypatch.setattr(lattice_lm, "SLAB", 7)
+    assert np.allclose(lattice_lm.word_scores(words, v.start, v), [brute_word(w, p) for w in words])
+    slopes([*words[:3], words[-1]], [1, 2, 3, 4])
+
+
+def test_all_pieces_take_part():
+    v = lattice_lm.vocabulary()
+    assert v.longest == max(map(len, v.pieces)) > 16 and math.exp(v.start[-1]) > 0 and np.exp(v.start).sum() == pytest.approx(1)
 
-    def brute(word, scores=p):
-        x = b" " + word
-        a = [1.0] + [0.0] * len(x)
-        for j in range(1, len(x) + 1):
-            a[j] = sum(a[i] * math.exp(scores[x[i:j]]) for i in range(j) if x[i:j] in scores)
-        return math.log(a[-1])
-
-    words = [b"the", b"a", b"thandable", "été".encode(), bytes([255, 0, 7]), b"x" * 60]
-    assert np.allclose(lattice_lm.word_scores(words, v.start[None], v)[0], [brute(w) for w in words])
-    e = lattice_lm.expected_counts(words[:3], np.array([1.0, 2.0, 3.0]), v.start, v)
-    step = 1e-4
-    for piece in (b" th", b"e", b"able"):
-        k = v.pieces.index(piece)
-        up = v.start.copy()
-        up[k] += step
-        slope = sum(c * (x - y) for c, x, y in zip((1, 2, 3), lattice_lm.word_scores(words[:3], up[None], v)[0], lattice_lm.word_scores(words[:3], v.start[None], v)[0])) / step
-        assert e[k] == pytest.approx(slope, rel=1e-2, abs=1e-6)
+
+def test_long_word():
+    rnd = random.Random(16)
+    word = "".join(rnd.choice(WORDS) for _ in range(700_000)).encode()
+    v = lattice_lm.vocabulary()
+    began = time.time()
+    got = lattice_lm.word_scores([word], v.start, v)[0]
+    assert len(word) > 2_000_000 and time.time() - began < 60 and math.isfinite(got) and got < -len(word) / 10
+
+
+def brute_em(tokens, ends, rounds=lattice_lm.ROUNDS):
+    """Piece scores after some rounds over all tokens, from the sums over whole segmentations."""
+    v = lattice_lm.vocabulary()
+    p = dict(zip([*v.pieces, None], v.start))
+    for _ in range(rounds):
+        n = Counter(dict.fromkeys(p, lattice_lm.SMOOTH))
+        n[None] += ends
+        for w, c in tokens.items():
+            x = b" " + w
+            m = len(x)
+            a, b = [1.0] + [0.0] * m, [0.0] * m + [1.0]
+            arcs = [(i, j, math.exp(p[x[i:j]])) for i in range(m) for j in range(i + 1, m + 1) if x[i:j] in p]
+            for i, j, s in sorted(arcs, key=lambda t: t[1]):
+                a[j] += a[i] * s
+            for i, j, s in sorted(arcs, key=lambda t: -t[0]):
+                b[i] += s * b[j]
+            for i, j, s in arcs:
+                n[x[i:j]] += c * a[i] * s * b[j] / a[m]
+        total = sum(n.values())
+        p = {k: math.log(x / total) for k, x in n.items()}
+    return p
 
 
 def test_lm(spark, docs, none, monkeypatch):
@@ -238,14 +285,28 @@ def test_lm(spark, docs, none, monkeypatch):
             c.update((d.text or "").encode().lower().split())
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + 1
+    blob = b"x" * 50_000  # one row, beyond the brute-force version
+    c.pop(blob, None)
     want = Counter()
     for d in data:
         w = (d.text or "").encode().lower().split()
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
-        want[d.doc_id, held[d.doc_id], len(w) + 1, sum(x in c for x in w) + 1, n, round(base, 4)] += 1
+        base = sum(math.log10((c[x] + 1) / (n + v + 1)) if x != blob else math.log10((1 + (not held[1003])) / (n + v + 1)) for x in w) + math.log10((ends + 1) / (n + v + 1))
+        known = sum(x in c or x == blob and not held[1003] for x in w) + 1
+        want[d.doc_id, held[d.doc_id], len(w) + 1, known, n, round(base, 4)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    small = docs.where("coalesce(doc_id, 0) <> 1003")
+    pieces = brute_em(c, ends - (not held[1003]))
+    want = Counter()
+    cached = {}
+    for d in small.collect():
+        total = pieces[None]
+        for x in (d.text or "").encode().lower().split():
+            total += cached.setdefault(x, brute_word(x, pieces))
+        want[d.doc_id, round(total / math.log(10), 3)] += 1
+    assert Counter((r.doc_id, round(r.score, 3)) for r in lattice_lm.score_texts(small).collect()) == want
     assert lattice_lm.score_texts(none).count() == 0
+    only = lattice_lm.score_texts(spark.createDataFrame([(16, "ban ker", "en"), (None, "", "en")], "doc_id long, text string, lang string").where("doc_id = 16" if zlib.crc32(b"16") % 7 == 2 else "doc_id IS NULL")).collect()
+    assert len(only) == 1 and only[0].score < 0
 
 
 # 6
