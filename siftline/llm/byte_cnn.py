@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.llm.common import map_arrow
+
 #: A chunk is CHUNK bytes, a new one starts every HOP bytes; both are multiples of the pooled block.
 BLOCK, CHUNK, HOP = 128, 512, 256
 WIDTH, DIM, FILTERS = 6, 8, 16
-#: Bounds of the training sample: labelled rows for each class, and chunks, spread over the whole text, for each row.
-SAMPLE_ROWS, SAMPLE_CHUNKS = 2000, 12
+#: Bound of the training sample: labelled rows for each class. Chunks that one epoch draws, anew, from the whole text of a row.
+SAMPLE_ROWS, EPOCH_CHUNKS = 2000, 8
 EPOCHS, BATCH, RATE, DECAY = 12, 32, 0.02, 1e-4
 THRESHOLD = 0.7
 #: Labels are learnt from rows whose crc32(doc_id) is not HELD_OUT modulo FOLDS.
@@ -74,25 +76,27 @@ def scores(texts: list[bytes], m: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
 
 
-def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, positive_share: float, seed: int = 7, epochs: int = EPOCHS) -> Model:
+def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, positive_share: float, drawn: np.ndarray | None = None, seed: int = 7, epochs: int = EPOCHS) -> Model:
     """Fits the network by Adam. chunks: (n, CHUNK + WIDTH - 1) bytes, owner: the row of each chunk, in order; labels: 0 or 1 per row.
 
+    drawn: for each chunk, a bit for each epoch that learns from it; all do without it. Each row has a chunk in each epoch.
     positive_share: of label 1 among all labelled rows; the sample is balanced and the bias is set back to that share.
     """
     rng = np.random.default_rng(seed)
     p = {"e": rng.normal(0, 0.5, (256, DIM)), "w": rng.normal(0, 0.3, (WIDTH, DIM, FILTERS)), "s": np.zeros(FILTERS), "o": rng.normal(0, 0.3, FILTERS), "b": np.zeros(1)}
     mean, var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     n = len(labels)
-    first = np.searchsorted(owner, np.arange(n + 1))
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (labels == 0).sum())) * n
     step = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(n)
+        at_hand = np.arange(len(owner)) if drawn is None else np.flatnonzero(drawn >> epoch & 1)
+        first = np.searchsorted(owner[at_hand], np.arange(n + 1))
         for a in range(0, n, BATCH):
             rows = order[a : a + BATCH]
             take = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
             which = np.repeat(np.arange(len(rows)), first[rows + 1] - first[rows])
-            x = chunks[take]
+            x = chunks[at_hand[take]]
             tables = (p["e"] @ p["w"]).astype(np.float32)  # WIDTH x 256 x FILTERS
             y = sum(tables[j][x[:, j : j + CHUNK]] for j in range(WIDTH))
             best = y.argmax(axis=1)
@@ -108,9 +112,8 @@ def train(chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray, positive_sh
             back = (err / size)[which][:, None] * p["o"] * (top > 0)
             g["s"] = g["s"] + back.sum(0)
             for j in range(WIDTH):
-                at = x[np.arange(len(x))[:, None], best + j]  # the byte under each filter's best place
-                flat = np.zeros((256, FILTERS))
-                np.add.at(flat, (at, np.arange(FILTERS)[None, :]), back)
+                at = x[np.arange(len(x))[:, None], best + j].astype(np.int64)  # the byte under each filter's best place
+                flat = np.bincount((at * FILTERS + np.arange(FILTERS)).ravel(), back.ravel(), 256 * FILTERS).reshape(256, FILTERS)
                 g["w"][j] += p["e"].T @ flat
                 g["e"] += flat @ p["w"][j].T
             step += 1
@@ -133,25 +136,40 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
+def draws(n: int, seed: int, epochs: int = EPOCHS, each: int = EPOCH_CHUNKS) -> dict[int, int]:
+    """The chunks, of n, that some epoch draws, with a bit for each such epoch: all of them if there are no more than `each`, else
+    `each` at random, anew in each epoch."""
+    if n <= each:
+        return dict.fromkeys(range(n), (1 << epochs) - 1)
+    rng = np.random.default_rng(seed)
+    found: dict[int, int] = {}
+    for e in range(epochs):
+        for k in rng.choice(n, each, replace=False).tolist():
+            found[k] = found.get(k, 0) | 1 << e
+    return found
+
+
 def _sample_chunks(batches):
     for b in batches:
-        ids, labels, out = [], [], []
+        ids, labels, out, drawn = [], [], [], []
         for i, q, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
             text = x.as_py() or b""
-            n = int(layout(np.array([len(text)]))[0][0])
-            for k in np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).round().astype(int)).tolist():
+            for k, bits in draws(int(layout(np.array([len(text)]))[0][0]), i & 0xFFFFFFFF).items():
                 ids.append(i)
                 labels.append(q)
+                drawn.append(bits)
                 out.append(text[k * HOP : k * HOP + CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0"))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "quality", "chunk"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(out, pa.binary()), pa.array(drawn, pa.int64())], names=["doc_id", "quality", "chunk", "drawn"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Trains on at most `rows` labelled rows of each class outside the held-out fold, and SAMPLE_CHUNKS chunks of each.
+    """Trains on at most `rows` labelled rows of each class outside the held-out fold; each epoch draws EPOCH_CHUNKS chunks of each
+    row anew from its whole text.
 
     Rows are chosen by the order of a hash of their id, so more data give the same kind of sample. Labels that are null, neither 0
-    nor 1, or contradict each other for one doc_id are left out. The bound on what reaches the driver is
-    2 * rows * SAMPLE_CHUNKS * (CHUNK + WIDTH - 1) bytes.
+    nor 1, or contradict each other for one doc_id are left out; rows that repeat a doc_id count as one text, of all their chunks.
+    Without labels, documents, or rows of both classes, the model is constant. The bound on what reaches the driver is
+    2 * rows * EPOCHS * EPOCH_CHUNKS * (CHUNK + WIDTH - 1) bytes (about 200 MB; some 20 MB for texts of 2 KB).
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
@@ -162,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").select("doc_id", "quality", "text")
-    got = sample.mapInArrow(_sample_chunks, "doc_id long, quality int, chunk binary").toArrow()
+    got = map_arrow(sample, _sample_chunks, "doc_id long, quality int, chunk binary, drawn long").toArrow()
     ids_, labels_ = got["doc_id"].to_numpy(), got["quality"].to_numpy()
     if len(set(labels_.tolist())) < 2:
         return constant(counts[1] / total)
@@ -171,14 +189,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     uniq, owner = np.unique(ids_[order], return_inverse=True)
     row_labels = np.zeros(len(uniq), int)
     row_labels[owner] = labels_[order]
-    return train(data[order], owner, row_labels, counts[1] / total)
+    return train(data[order], owner, row_labels, counts[1] / total, got["drawn"].to_numpy()[order])
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score double (0 to 1, higher: better) and predicted int, from the whole text of each row.
 
-    A null or empty text is one chunk of padding and gets the model's score for that. Equal texts get equal scores; no other
-    column is looked at. Columns score and predicted of docs are replaced.
+    A null or empty text is one chunk of padding and gets the model's score for that. Equal texts get equal scores, rows that
+    repeat a doc_id are scored one by one, no rows give none; no other column is looked at. Columns score and predicted of docs
+    are replaced.
     """
     own = docs.drop("score", "predicted")
     at = own.columns.index("text")
@@ -197,4 +216,4 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
                     texts, size, a = [], 0, k + 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+    return map_arrow(own, run, schema)

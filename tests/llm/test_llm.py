@@ -131,6 +131,46 @@ def test_cnn_scores_whole_texts():
         assert s == pytest.approx(1 / (1 + math.exp(-np.clip(np.mean(z) + m.bias, -50, 50))), rel=1e-3)
 
 
+def test_draws():
+    assert byte_cnn.draws(3, 1) == dict.fromkeys(range(3), (1 << byte_cnn.EPOCHS) - 1)
+    found = byte_cnn.draws(100, 5)
+    for e in range(byte_cnn.EPOCHS):
+        assert sum(bits >> e & 1 for bits in found.values()) == byte_cnn.EPOCH_CHUNKS
+    assert len(found) > 50 and max(found) > 90  # anew in each epoch, over the whole text
+
+
+def test_gradients(monkeypatch):
+    """One step of training moves every kind of parameter against the slope of the loss, as differences give it."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(byte_cnn, "DECAY", 0.0)
+    monkeypatch.setattr(byte_cnn, "BATCH", 4)
+    chunks = rng.integers(97, 101, (7, byte_cnn.CHUNK + byte_cnn.WIDTH - 1)).astype(np.uint8)
+    owner, labels = np.array([0, 0, 1, 2, 2, 2, 3]), np.array([0, 1, 1, 0])
+    before = byte_cnn.train(chunks, owner, labels, 0.5, epochs=0)
+
+    def loss(m):
+        z = []
+        for r in range(4):
+            act = [np.maximum(np.max([sum(m.tables[j][c[p + j]] for j in range(byte_cnn.WIDTH)) for p in range(byte_cnn.CHUNK)], axis=0) + m.shift, 0) for c in chunks[owner == r]]
+            z.append(np.mean(act, axis=0) @ m.out + m.bias)
+        p = 1 / (1 + np.exp(-np.array(z)))
+        return -np.mean(np.where(labels == 1, np.log(p), np.log(1 - p)))
+
+    after = byte_cnn.train(chunks, owner, labels, 0.5, epochs=25)
+    assert loss(after) < 0.5 * loss(before)
+    seen = []
+    for change in (lambda m: m.out, lambda m: m.shift):  # the first step of Adam is the sign of the slope
+        one = byte_cnn.train(chunks, owner, labels, 0.5, epochs=1)
+        moved = change(one) - change(before)
+        for f in range(byte_cnn.FILTERS):
+            up = byte_cnn.Model(before.tables, before.shift.copy(), before.out.copy(), before.bias)
+            change(up)[f] += 1e-3
+            slope = (loss(up) - loss(before)) / 1e-3
+            if abs(slope) > 1e-3:
+                seen.append(np.sign(moved[f]) == -np.sign(slope))
+    assert len(seen) > 8 and all(seen)
+
+
 def test_quality(spark, docs, none):
     rnd = random.Random(5)
     rows_ = [(i, " ".join(rnd.choice(WORDS) + ("### $$$" if i % 3 == 0 else "") for _ in range(rnd.randrange(20, 200)))) for i in range(240)]
