@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,9 +10,11 @@ from siftline.llm.common import SPACE_CLASS, join_hot, stash
 
 #: Base rule: least words, and largest share of repeated words in percent.
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: A threshold is Q3 + REACH * (Q3 - Q1) plus the metric's slack, in thousandths; a sketch needs MIN_GROUP documents.
-REACH, MIN_GROUP = 3, 100
-SLACK = {"symbols": 30, "repeats": 200, "dup_lines": 400, "caps": 100}
+#: A threshold is the upper decile plus REACH times the distance between the deciles, drawn towards that of the language as if the
+#: group had PRIOR more documents; beyond it a document may have EVENTS chance events.
+REACH, PRIOR, EVENTS = 10, 200, 3
+#: Metrics: what is counted, of how many, and how many of them one chance event counts (two equal 3-word windows are six words).
+METRICS = {"symbols": ("n_symbols", "word_chars", 1), "repeats": ("n_repeat_words", "n_words", 6), "dup_lines": ("n_dup_lines", "n_lines", 1), "caps": ("n_caps", "n_words", 1)}
 
 _WORDS = rf"filter(split(coalesce(text, ''), r'[{SPACE_CLASS}]+'), x -> x <> '')"
 _LINES = rf"filter(split(coalesce(text, ''), r'\n', -1), x -> x rlike r'[^{SPACE_CLASS}]')"
@@ -52,12 +54,7 @@ def with_base_rule(metrics: DataFrame) -> DataFrame:
 
 
 #: Each metric in whole thousandths, 0 to 1000: the bins of the sketches.
-BINS = {
-    "symbols": "coalesce(1000 * n_symbols DIV nullif(word_chars, 0), 0)",
-    "repeats": "coalesce(1000 * n_repeat_words DIV nullif(n_words, 0), 0)",
-    "dup_lines": "coalesce(1000 * n_dup_lines DIV nullif(n_lines, 0), 0)",
-    "caps": "coalesce(1000 * n_caps DIV nullif(n_words, 0), 0)",
-}
+BINS = {k: f"coalesce(1000 * {n} DIV nullif({of}, 0), 0)" for k, (n, of, _) in METRICS.items()}
 
 
 def sketches(metrics: DataFrame) -> DataFrame:
@@ -69,40 +66,50 @@ def sketches(metrics: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """by..., n_docs and a threshold per metric (t_<metric>), of the sketches merged to the groups of `by`; quantiles are the
-    smallest bin that has a quarter, or three quarters, of the documents at or under it."""
+    """by..., n_docs and a threshold per metric (t_<metric>, at most 1000), of the sketches merged to the groups of `by`; a decile is
+    the smallest bin that has a tenth, or nine tenths, of the documents at or under it."""
     merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     upto, whole = Window.partitionBy(*by, "metric").orderBy("bin"), Window.partitionBy(*by, "metric")
     c = merged.select(*by, "metric", "bin", F.sum("n").over(upto).alias("c"), F.sum("n").over(whole).alias("n"))
-    q = c.groupBy(*by, "metric").agg(F.max("n").alias("n_docs"), F.min(F.when(F.col("c") * 4 >= F.col("n"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("c") * 4 >= 3 * F.col("n"), F.col("bin"))).alias("q3"))
-    slack = F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv))
-    q = q.withColumn("t", F.col("q3") + REACH * (F.col("q3") - F.col("q1")) + slack[F.col("metric")])
-    return q.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), *(F.max(F.when(F.col("metric") == k, F.col("t"))).alias(f"t_{k}") for k in SLACK))
+    low, high = (F.min(F.when(F.col("c") * 10 >= k * F.col("n"), F.col("bin"))) for k in (1, 9))
+    q = c.groupBy(*by, "metric").agg(F.max("n").alias("n_docs"), low.alias("low"), high.alias("high"))
+    q = q.withColumn("t", F.least(F.lit(1000), F.col("high") + REACH * (F.col("high") - F.col("low"))).cast("long"))
+    return q.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), *(F.max(F.when(F.col("metric") == k, F.col("t"))).alias(f"t_{k}") for k in METRICS))
+
+
+def drawn(own: str, n: str, wider: str) -> Column:
+    """A group's threshold, drawn towards the wider group's: their mean by the group's documents and PRIOR."""
+    return F.expr(f"(coalesce({n}, 0) * coalesce({own}, 0) + {PRIOR} * {wider}) DIV (coalesce({n}, 0) + {PRIOR})")
+
+
+def group_thresholds(m: DataFrame) -> DataFrame:
+    """_group, _rows and a threshold per metric, for each language and source of m (see apply_rules())."""
+    s = stash(sketches(m), "rule-sketches")
+    own, of_lang = thresholds(s, ["lang", "source"]), thresholds(s, ["lang"])
+    every = thresholds(s.withColumn("_all", F.lit(1)), ["_all"]).first()
+    of_lang = of_lang.select(F.col("lang").alias("_lang"), *(drawn(f"t_{k}", "n_docs", str(every[f"t_{k}"] if every else 0)).alias(f"l_{k}") for k in METRICS))
+    rows = m.groupBy("lang", "source", "_group").agg(F.count("*").alias("_rows"))
+    same = rows["lang"].eqNullSafe(own["lang"]) & rows["source"].eqNullSafe(own["source"])
+    table = rows.join(own, same, "left").select(rows["lang"], "_group", "_rows", "n_docs", *(f"t_{k}" for k in METRICS))
+    table = table.join(of_lang, table["lang"].eqNullSafe(of_lang["_lang"]), "left")
+    wider = {k: f"coalesce(l_{k}, {every[f't_{k}'] if every else 0})" for k in METRICS}
+    return stash(table.select("_group", "_rows", *(drawn(f"t_{k}", "n_docs", wider[k]).alias(f"t_{k}") for k in METRICS)), "rule-thresholds")
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """One row per document: its counts, base_failed and kept, which is false if base_failed or if a metric is above the
     threshold of its language and source.
 
-    A language and source with fewer than MIN_GROUP documents that pass the base rule takes the threshold of its language, merged
-    over sources, and a language with fewer takes that of all. Null languages and sources are groups like others, null or empty
-    texts fail the base rule, rows that repeat a doc_id are judged one by one, and other columns are ignored.
+    Thresholds come from the sketches alone: the upper decile and REACH times the distance between the deciles, drawn towards the
+    threshold of the language over all sources, and that towards the one of all documents, the more the smaller a group is. A
+    document fails if it has more than the threshold's share and EVENTS chance events, so a short text does not fail by one
+    symbol. Null languages and sources are groups like others, null or empty texts fail the base rule, rows that repeat a doc_id
+    are judged one by one, no rows give none, and other columns are ignored.
     """
     group = F.to_json(F.struct("lang", "source"))
     m = stash(with_base_rule(text_metrics(docs)).withColumn("_group", group), "rule-metrics")
-    s = stash(sketches(m), "rule-sketches")
-    names = [f"t_{k}" for k in SLACK]
-    own = thresholds(s, ["lang", "source"])
-    every = thresholds(s.withColumn("_all", F.lit(1)), ["_all"]).first()
-    of_lang = thresholds(s, ["lang"]).where(F.col("n_docs") >= MIN_GROUP).select(F.col("lang").alias("_lang"), *(F.col(k).alias(f"l{k}") for k in names))
-    rows = m.groupBy("lang", "source", "_group").agg(F.count("*").alias("_rows"))
-    same = rows["lang"].eqNullSafe(own["lang"]) & rows["source"].eqNullSafe(own["source"])
-    table = rows.join(own.where(F.col("n_docs") >= MIN_GROUP), same, "left").select(rows["lang"], "_group", "_rows", *names)
-    table = table.join(of_lang, table["lang"].eqNullSafe(of_lang["_lang"]), "left")
-    fallback = {k: F.lit(every[k] if every else 0) for k in names}
-    table = stash(table.select("_group", "_rows", *(F.coalesce(k, f"l{k}", fallback[k]).alias(k) for k in names)), "rule-thresholds")
-    judged = join_hot(m, table, "_group", "_rows", how="inner")
+    judged = join_hot(m, group_thresholds(m), "_group", "_rows", how="inner")
     above = F.lit(False)
-    for k, v in BINS.items():
-        above = above | (F.expr(v) > F.col(f"t_{k}"))
+    for k, (n, of, each) in METRICS.items():
+        above = above | F.expr(f"1000 * {n} > t_{k} * {of} + {1000 * EVENTS * each}")
     return judged.withColumn("kept", ~F.col("base_failed") & ~above).drop("_group", "_rows")

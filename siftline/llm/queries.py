@@ -91,13 +91,16 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 v AS (SELECT lang, source, metric, bin FROM (SELECT * FROM f WHERE NOT base_failed) UNPIVOT (bin FOR metric IN (symbols, repeats, dup_lines, caps))),
 g AS (SELECT 'own' AS lev, lang, source, metric, bin FROM v UNION ALL SELECT 'lang', lang, NULL, metric, bin FROM v UNION ALL SELECT 'all', NULL, NULL, metric, bin FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY lev, lang, source, metric ORDER BY bin) AS k, count(*) OVER (PARTITION BY lev, lang, source, metric) AS n FROM g),
-t AS (SELECT lev, lang, source, metric, max(n) AS n, min(bin) FILTER (WHERE k * 4 >= n) AS q1, min(bin) FILTER (WHERE k * 4 >= 3 * n) AS q3 FROM r GROUP BY lev, lang, source, metric),
-h AS (SELECT lev, lang, source, n, metric, q3 + 3 * (q3 - q1) + CASE metric WHEN 'symbols' THEN 30 WHEN 'repeats' THEN 200 WHEN 'dup_lines' THEN 400 ELSE 100 END AS t FROM t WHERE lev = 'all' OR n >= 100),
-z AS (SELECT lev, lang, source, max(t) FILTER (WHERE metric = 'symbols') AS ts, max(t) FILTER (WHERE metric = 'repeats') AS tr, max(t) FILTER (WHERE metric = 'dup_lines') AS td, max(t) FILTER (WHERE metric = 'caps') AS tc FROM h GROUP BY lev, lang, source)
+q AS (SELECT lev, lang, source, metric, max(n) AS n, min(bin) FILTER (WHERE k * 10 >= n) AS low, min(bin) FILTER (WHERE k * 10 >= 9 * n) AS high FROM r GROUP BY lev, lang, source, metric),
+t AS (SELECT lev, lang, source, metric, n, least(1000, high + 10 * (high - low))::BIGINT AS t FROM q),
+z AS (SELECT x.lang, x.source, k.metric, (coalesce(a.n, 0) * coalesce(a.t, 0) + 200 * ((coalesce(b.n, 0) * coalesce(b.t, 0) + 200 * coalesce(c.t, 0)) // (coalesce(b.n, 0) + 200))) // (coalesce(a.n, 0) + 200) AS t
+      FROM (SELECT DISTINCT lang, source FROM f) x CROSS JOIN (SELECT unnest(['symbols', 'repeats', 'dup_lines', 'caps']) AS metric) k
+           LEFT JOIN t a ON a.lev = 'own' AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source AND a.metric = k.metric
+           LEFT JOIN t b ON b.lev = 'lang' AND b.lang IS NOT DISTINCT FROM x.lang AND b.metric = k.metric LEFT JOIN t c ON c.lev = 'all' AND c.metric = k.metric),
+w AS (SELECT lang, source, max(t) FILTER (WHERE metric = 'symbols') AS ts, max(t) FILTER (WHERE metric = 'repeats') AS tr, max(t) FILTER (WHERE metric = 'dup_lines') AS td, max(t) FILTER (WHERE metric = 'caps') AS tc FROM z GROUP BY lang, source)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, f.lang, f.source, n_lines, n_caps,
-       NOT base_failed AND symbols <= coalesce(a.ts, b.ts, c.ts, 0) AND repeats <= coalesce(a.tr, b.tr, c.tr, 0) AND dup_lines <= coalesce(a.td, b.td, c.td, 0) AND caps <= coalesce(a.tc, b.tc, c.tc, 0) AS kept
-FROM f LEFT JOIN z a ON a.lev = 'own' AND a.lang IS NOT DISTINCT FROM f.lang AND a.source IS NOT DISTINCT FROM f.source
-       LEFT JOIN z b ON b.lev = 'lang' AND b.lang IS NOT DISTINCT FROM f.lang LEFT JOIN z c ON c.lev = 'all'
+       NOT base_failed AND 1000 * n_symbols <= ts * word_chars + 3000 AND 1000 * n_repeat_words <= tr * n_words + 18000 AND 1000 * n_dup_lines <= td * n_lines + 3000 AND 1000 * n_caps <= tc * n_words + 3000 AS kept
+FROM f JOIN w ON w.lang IS NOT DISTINCT FROM f.lang AND w.source IS NOT DISTINCT FROM f.source
 """
 
 _OP8 = r"""

@@ -509,6 +509,18 @@ def test_sketches_merge(spark, docs):
     assert adaptive_rules.thresholds(parts.withColumn("g", F.lit(1)), ["g"]).first() == whole
 
 
+def test_thresholds_follow_their_group(spark):
+    """What is usual in one source is out of the way in another, and a small group leans on its language."""
+    rnd = random.Random(17)
+    words = lambda n, sym: " ".join(rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) + ("#" if rnd.random() < sym else "") for _ in range(n))
+    data = [(k, words(120, 0.1), "en", "code") for k in range(300)] + [(1000 + k, words(120, 0), "en", "news") for k in range(300)] + [(2000, words(120, 0.9), "en", "news"), (3000, words(120, 0), "fr", "few")]
+    got = rows(adaptive_rules.apply_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")))
+    assert all(got[k].kept for k in range(300)) and all(got[1000 + k].kept for k in range(300))
+    assert not got[2000].kept and not got[2000].base_failed and got[3000].kept
+    limits = {r.source: r.t_symbols for r in adaptive_rules.apply_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).select("source", "t_symbols").distinct().collect()}
+    assert limits["news"] < min(limits["few"], limits["code"]) and max(limits.values()) <= 1000
+
+
 # 8
 
 
