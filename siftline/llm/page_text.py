@@ -1,23 +1,28 @@
-"""Main text of web pages: markup first, then a suffix array over each host's token streams for unmarked boilerplate."""
+"""Main text of web pages: markup first, then a suffix array over each host's token streams for repeated text."""
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 import zlib
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import join_hot, stash
+from siftline.llm.common import join_hot, join_salted, map_arrow, stash
 from siftline.llm.order_minhash import kmers
 
-#: Shortest repeated run in tokens; distinct pages of the host that it must be on; share of a block's tokens.
+#: Shortest repeated run in tokens; pages of the host that it must be on; share of a block's tokens that runs must cover.
 LEAST_RUN, LEAST_PAGES, COVERED = 8, 3, 0.8
-#: A host's pages are dealt by hash into shards of about so many bytes, each with a suffix array of its own; runs are counted over all.
-SHARD_BYTES = 1_000_000
+#: Inside an article: share of the host's pages, and least number of them, that must have a run.
+ARTICLE_SHARE, ARTICLE_PAGES = 0.5, 5
+#: Bytes of pages for each bucket of the suffix array; suffixes that a task counts before it emits; runs that are broadcast at most.
+BUCKET_BYTES, FLUSH, MOST_RUNS = 16_000_000, 500_000, 2_000_000
 
 # Fixed values of HTML: elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -125,146 +130,217 @@ def blocks(page: str | None, names: bool = True) -> list[tuple[str, bool, int]]:
     return out
 
 
-def repeated_runs(streams: list[np.ndarray], least: int = LEAST_RUN, pages: int = LEAST_PAGES) -> list[np.ndarray]:
-    """For each token stream, which of its tokens lie in a run of `least` tokens or more that at least `pages` streams have.
+def token_codes(texts: list[str]) -> list[np.ndarray]:
+    return [np.fromiter((zlib.crc32(w.encode()) for w in t.split()), np.int64) for t in texts]
 
-    The streams are concatenated with a separator of its own after each, and their suffixes are sorted by doubling until they are
-    in the order of their first `least` tokens: suffixes that begin with the same run then stand together.
-    """
-    sizes = np.array([len(s) for s in streams])
-    if not len(streams) or sizes.sum() < least:
-        return [np.zeros(n, bool) for n in sizes]
-    text = np.concatenate([np.append(s.astype(np.int64), -1 - k) for k, s in enumerate(streams)])
-    owner = np.repeat(np.arange(len(streams)), sizes + 1)
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1]
-    depth = 1
-    while depth < least:
-        step = min(depth, least - depth)
-        later = np.full(n, -1)
-        later[: n - step] = rank[step:]
-        rank = np.unique(rank * np.int64(n + 2) + later + 1, return_inverse=True)[1]
-        depth += step
-    suffixes = np.lexsort((owner, rank))
-    r, o = rank[suffixes], owner[suffixes]
-    first = np.ones(n, bool)
-    first[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1])
-    often = np.bincount(r[first], minlength=int(r.max()) + 1) >= pages
-    starts = np.flatnonzero(often[rank])
-    edge = np.zeros(n + least + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + least, -1)
-    covered = np.cumsum(edge)[:n] > 0
-    ends = np.cumsum(sizes + 1)
-    return [covered[e - s - 1 : e - 1] for e, s in zip(ends, sizes, strict=True)]
-
-
-def run_hashes(stream: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
-    """64-bit hashes of all runs of `least` tokens, by their first token."""
-    return kmers(stream, least) if len(stream) >= least else np.empty(0, np.uint64)
-
-
-def run_mask(stream: np.ndarray, frequent: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
-    """Which tokens lie in runs of `least` tokens whose hash is among the frequent ones."""
-    starts = np.flatnonzero(np.isin(run_hashes(stream, least), frequent))
-    edge = np.zeros(len(stream) + 1, np.int64)
-    edge[starts] += 1
-    edge[starts + least] -= 1
-    return np.cumsum(edge)[:-1] > 0
 
+def host_salt(host: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(host.encode(), digest_size=8).digest()))
 
-def token_codes(texts: list[str]) -> list[np.ndarray]:
-    return [np.fromiter((zlib.crc32(w.encode()) for w in t.split()), np.int64) for t in texts]
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """48 bits of a hash, as the suffix array keeps them."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(16)).view(np.int64)
 
-def _stream(codes: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([*codes, np.empty(0, np.int64)])
 
+@dataclass
+class Page:
+    """A parsed page: its blocks that the markup does not exclude, where each ends in their token stream, and the selected suffixes
+    of that stream: their places and what they begin with (LEAST_RUN tokens, hashed together with the host)."""
 
-def undecided(parsed: list[tuple[str, bool, int]]) -> bool:
-    """Whether repeated runs have a say in main_text()."""
-    kept = [m for _, off, m in parsed if not off]
-    return bool(kept) and max(kept) < 2
+    blocks: list[tuple[str, int]]
+    ends: np.ndarray
+    places: np.ndarray
+    runs: np.ndarray
 
 
-def main_text(parsed: list[tuple[str, bool, int]], covered: list[bool]) -> str:
-    """The blocks that stay: those in the article as marked; without such marks all but the repeated ones; never dropped ones.
+def selected(stream: np.ndarray, ends: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
+    """Places of the suffixes that take part: in each `least` neighbours the one of smallest hash, and those that begin with a block
+    or end with one after `least` tokens.
 
-    Text that the markup places in an article or main element stays even if other pages have it too: what repeats there is
-    quoted, shared or copied content.
+    The choice depends on the tokens near a place alone, so pages with a text in common select the same suffixes in it. Selected
+    runs overlap or touch, so a sequence of whole blocks that pages share, of `least` tokens or more, is covered without a gap.
     """
-    kept = [(t, m, c) for (t, off, m), c in zip(parsed, covered, strict=True) if not off]
-    best = max((m for _, m, _ in kept), default=0)
-    return "\n".join(t for t, m, c in kept if m == best and (best >= 2 or not c))
-
-
-def _host_texts(group: pa.Table, runs: pa.Table) -> pa.Table:
-    """The texts of a shard's pages; runs are those of the shard that are on enough pages of the whole host."""
-    parsed = [[(b["t"], b["off"], b["main"]) for b in row] for row in group.column("blocks").to_pylist()]
-    codes = [token_codes([t for t, _, _ in page]) for page in parsed]
-    streams = [_stream(page) for page in codes]
-    frequent = np.unique(runs.column("run").to_numpy().view(np.uint64))
-    texts = []
-    for page, words, stream, mask in zip(parsed, codes, streams, repeated_runs(streams), strict=True):
-        if len(frequent):
-            mask = mask | run_mask(stream, frequent)
-        ends = np.cumsum([len(w) for w in words])
-        share = [mask[e - len(w) : e].mean() if len(w) else 0 for e, w in zip(ends, words, strict=True)]
-        texts.append(main_text(page, [s >= COVERED for s in share]))
-    return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-
-def _facts(batches):
-    for b in batches:
-        pages = b.column(1).to_pylist()
-        sizes = [len(x.encode()) if x else 0 for x in pages]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([undecided(page_blocks(x)) for x in pages], pa.bool_())], names=["host", "bytes", "open"])
+    h = kmers(stream, least)
+    if len(stream) < least:
+        return np.empty(0, np.int64)
+    if len(h) > least:
+        near = np.lib.stride_tricks.sliding_window_view(h, least)
+        chosen = np.arange(len(near)) + near.argmin(axis=1)
+    else:
+        chosen = h.argmin()[None]
+    starts = np.append(0, ends)[:-1]
+    both = np.concatenate([chosen, starts, ends - least])
+    return np.unique(both[(both >= 0) & (both < len(h))])
+
+
+def parse(html: str | None, host: str) -> Page:
+    kept = [(t, main) for t, off, main in page_blocks(html) if not off]
+    codes = token_codes([t for t, _ in kept])
+    stream = np.concatenate([*codes, np.empty(0, np.int64)])
+    ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
+    places = selected(stream, ends) if len(ends) else np.empty(0, np.int64)
+    return Page(kept, ends, places, _short(kmers(stream, LEAST_RUN)[places] ^ host_salt(host)) if len(places) else np.empty(0, np.int64))
+
+
+def host_mark(host: str) -> int:
+    """The entry under which a host's pages are counted."""
+    return int(_short(host_salt(host)[None] + np.uint64(1))[0])
+
+
+def covered_blocks(page: Page, often: np.ndarray) -> list[bool]:
+    """Whether COVERED of a block's tokens lie in frequent runs; often: whether each selected run is frequent. Runs that overlap or
+    touch are one long substring."""
+    n = int(page.ends[-1]) if len(page.ends) else 0
+    edge = np.zeros(n + LEAST_RUN + 1, np.int64)
+    np.add.at(edge, page.places[often], 1)
+    np.add.at(edge, page.places[often] + LEAST_RUN, -1)
+    upto = np.append(0, np.cumsum(np.cumsum(edge)[:n] > 0))
+    starts = np.append(0, page.ends)[:-1]
+    return [e > s and upto[e] - upto[s] >= COVERED * (e - s) for s, e in zip(starts.tolist(), page.ends.tolist(), strict=True)]
+
+
+def main_text(page: Page, counts: np.ndarray, of_host: int) -> str:
+    """The blocks that stay, of those that stand most strongly in the article; counts: on how many pages of the host each selected
+    run is, of_host: how many pages it has.
+
+    In an article or main element, text goes that is on ARTICLE_SHARE of the host's pages, and on ARTICLE_PAGES at least: what
+    fewer pages share is quoted or copied. If that were more than half of the article, the page is a copy and keeps it. Elsewhere
+    text goes that is on LEAST_PAGES pages, unless that were all.
+    """
+    best = max((m for _, m in page.blocks), default=0)
+    marked = best >= 2
+    covered = covered_blocks(page, counts >= (max(ARTICLE_PAGES, ARTICLE_SHARE * of_host) if marked else LEAST_PAGES))
+    sizes = np.diff(np.append(0, page.ends))
+    own = [(t, int(n), c) for (t, m), n, c in zip(page.blocks, sizes, covered, strict=True) if m == best]
+    gone = sum(n for _, n, c in own if c)
+    if gone > (0.5 if marked else 0.999999) * sum(n for _, n, _ in own):
+        return "\n".join(t for t, _, _ in own)
+    return "\n".join(t for t, _, c in own if not c)
 
 
-def _page_runs(batches):
-    for b in batches:
-        for host, shard, x in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
-            runs = np.unique(run_hashes(_stream(token_codes([t for t, _, _ in page_blocks(x)])))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.repeat(host, len(runs)), pa.repeat(shard, len(runs)), pa.array(runs)], names=["host", "shard", "run"])
+def packed(runs: np.ndarray) -> bytes:
+    return runs.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
 
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<i8")[:, 0]
 
-def frequent_runs(pages: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """shard, run: the runs of each shard of pages (host, shard, html) that `least` pages of the host have, over all its shards."""
-    counts = pages.mapInArrow(_page_runs, "host string, shard string, run long").groupBy("host", "shard", "run").agg(F.count("*").alias("n"))
-    counts = stash(counts, "shard-runs")
-    often = counts.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("host", "run")
-    return counts.join(often, ["host", "run"], "left_semi").select("shard", "run")
 
+def _summed(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(runs, kind="stable")
+    runs, counts = runs[order], counts[order]
+    first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.empty(0, np.int64)
+    return runs[first], np.add.reduceat(counts, first) if len(runs) else counts
 
-_BLOCK = pa.list_(pa.struct([("t", pa.string()), ("off", pa.bool_()), ("main", pa.int32())]))
 
+def suffix_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """run, n of the suffix array over the pages of each host, rows (host, html), where n pages or more have the run; n >= LEAST_PAGES.
 
-def _parse(batches):
+    The array is dealt by the hash of what a suffix begins with, so equal beginnings stand together whatever the host's size; each
+    task sorts and counts its own pages' suffixes first, so a run on all pages of a hot host is one entry of each task.
+    """
+
+    def entries(batches):
+        held, marks = [], Counter()
+
+        def emit():
+            runs, counts = _summed(np.concatenate([*held, np.fromiter(marks, np.int64, len(marks))]), np.concatenate([np.ones(sum(map(len, held)), np.int64), np.fromiter(marks.values(), np.int64, len(marks))]))
+            held.clear()
+            marks.clear()
+            bucket = runs % buckets
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist() if buckets <= len(runs) else None
+            names = np.arange(buckets) if edges else np.unique(bucket)
+            edges = edges or np.append(np.searchsorted(bucket[order], names), len(runs)).tolist()
+            parts = [order[a:z] for a, z in zip(edges, edges[1:], strict=False)]
+            cols = [pa.array(names.astype(np.int64)), pa.array([packed(runs[x]) for x in parts], pa.binary()), pa.array([zlib.compress(counts[x].astype("<i4").tobytes(), 1) for x in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["bucket", "runs", "counts"])
+
+        for b in batches:
+            for host, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append(np.unique(parse(x, host).runs))
+                marks[host_mark(host)] += 1
+            if sum(map(len, held)) >= FLUSH:
+                yield emit()
+        yield emit()
+
+    def merge(group: pa.Table) -> pa.Table:
+        runs = np.concatenate([unpacked(x) for x in group.column("runs").to_pylist()])
+        counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<i4") for x in group.column("counts").to_pylist()]).astype(np.int64)
+        runs, counts = _summed(runs, counts)
+        good = counts >= LEAST_PAGES
+        return pa.table([pa.array(runs[good]), pa.array(counts[good])], names=["run", "n"])
+
+    return map_arrow(rows, entries, "bucket long, runs binary, counts binary").groupBy("bucket").applyInArrow(merge, "run long, n long")
+
+
+_TEXT = ["page_id", "url", "text"]
+
+
+def _texts(batches, counted):
+    """batches of page_id, url, host, html and more; counted(batch, row, runs) gives the counts of runs."""
     for b in batches:
-        rows = [[{"t": t, "off": off, "main": m} for t, off, m in page_blocks(x)] for x in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rows, _BLOCK)], names=["page_id", "url", "shard", "blocks"])
+        texts = []
+        for k, (host, x) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            page = parse(x, host)
+            n = counted(b, k, np.append(page.runs, host_mark(host)))
+            texts.append(main_text(page, n[:-1], int(n[-1])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=_TEXT)
+
+
+def _look_up(runs: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(runs), np.int64)
+    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+    return np.where(known[at] == runs, counts[at], 0)
+
+
+def _joined(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """rows with _found: the frequent runs of each page and their counts; pages of one host and html are looked up once."""
+
+    def own(batches):
+        for b in batches:
+            for key, host, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                runs = np.append(np.unique(parse(x, host).runs), host_mark(host))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, pa.int64()), len(runs)), pa.array(runs)], names=["_key", "run"])
+
+    keyed = rows.withColumn("_key", F.xxhash64("host", "html"))
+    each = stash(map_arrow(keyed.select("_key", "host", "html"), own, "_key long, run long").distinct(), "page-runs")
+    found = join_salted(each, often, "run").groupBy("_key").agg(F.collect_list(F.struct("run", "n")).alias("_found"))
+    copies = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    return join_hot(keyed, stash(found.join(copies, "_key"), "page-found"), "_key", "_n", least=50).select("page_id", "url", "host", "html", "_found")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html): the main text of the whole page.
 
-    Markup decides where it speaks: scripts, styles, menus, headers, footers, sidebars, forms and what class, id or role names
-    mark as adverts, notices, comments and the like go; inside an article or main element all else stays. Elsewhere a block goes
-    if COVERED of its tokens lie in runs that the suffix array of the page's host finds on LEAST_PAGES pages or more. A hot host is
-    dealt into shards by a hash of page_id, so no task holds a whole host; if any of its pages lacks such marks, its runs are
-    counted by their hashes over all shards, and the frequent ones are joined back, so the shards do not change the result. A null or empty html has an empty text; a null url
-    belongs to a host of its own; rows that repeat a page_id are pages of their own; other columns are ignored.
+    Markup decides first what cannot be part of the article: scripts, styles, menus, headers, footers, sidebars, forms and what
+    class, id or role names mark as adverts, notices, comments and the like. Over all other text of a host's pages stands a suffix
+    array of token streams; blocks that its repeated substrings cover go, unique ones stay (main_text() has the limits, which are
+    numbers of pages and shares of the host, the same at any size). A null or empty html has an empty text; a null url belongs to
+    a host of its own; rows that repeat a page_id are pages of their own, no rows give none; other columns are ignored.
+
+    What the second pass looks up, the runs on LEAST_PAGES pages, is broadcast up to MOST_RUNS of them and joined beyond that.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    facts = rows.select("host", "html").mapInArrow(_facts, "host string, bytes long, open boolean").groupBy("host")
-    hosts = stash(facts.agg(F.count("*").alias("_n"), F.ceil(F.sum("bytes") / SHARD_BYTES).alias("_shards"), F.max("open").alias("_open")), "hosts")
-    dealt = join_hot(rows, hosts, "host", "_n", least=50, how="inner")
-    shard = F.concat_ws("|", F.pmod(F.xxhash64("page_id"), F.greatest("_shards", F.lit(1))), "host")
-    parsed = dealt.select("page_id", "url", shard.alias("shard"), "html").mapInArrow(_parse, "page_id long, url string, shard string, blocks array<struct<t: string, off: boolean, main: int>>")
-    wide = hosts.where("_open AND _shards > 1")
-    runs = pages.sparkSession.createDataFrame([], "shard string, run long")
-    if not wide.isEmpty():
-        runs = stash(frequent_runs(join_hot(rows, wide, "host", "_n", least=50, how="inner").select("host", shard.alias("shard"), "html")), "runs")
-    out = parsed.groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(_host_texts, "page_id long, url string, text string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    often = stash(suffix_counts(rows.select("host", "html"), 1 + size // BUCKET_BYTES), "host-runs")
+    schema = "page_id long, url string, text string"
+    if often.count() <= MOST_RUNS:
+        table = often.toArrow()
+        order = np.argsort(table["run"].to_numpy())
+        held = pages.sparkSession.sparkContext.broadcast((table["run"].to_numpy()[order], table["n"].to_numpy()[order]))
+        out = map_arrow(rows, lambda batches: _texts(batches, lambda b, k, runs: _look_up(runs, *held.value)), schema)
+    else:
+
+        def counted(b, k, runs):
+            found = sorted((r["run"], r["n"]) for r in b.column(4)[k].as_py() or [])
+            return _look_up(runs, np.array([r for r, _ in found], np.int64), np.array([n for _, n in found], np.int64))
+
+        out = map_arrow(_joined(rows, often), lambda batches: _texts(batches, counted), schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -195,51 +195,117 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <form>Name <input></form><section id="comments"><p>Nice!</p></section></article><aside>More</aside><footer>(c)</footer></body></html>"""
 
 
+def marked_text(page):
+    p = page_text.parse(page, "h")
+    return page_text.main_text(p, np.zeros(len(p.runs), int), 0)
+
+
 def test_blocks():
-    got = page_text.blocks(PAGE)
-    assert page_text.main_text(got, [False] * len(got)) == "Head&line\nOne boldword <tag> café next\nTwo three"
-    wrapped = page_text.page_blocks('<div class="no-sidebar"><p>Text</p><nav>Menu</nav></div>')
-    assert page_text.main_text(wrapped, [False] * len(wrapped)) == "Text"
+    assert marked_text(PAGE) == "Head&line\nOne boldword <tag> café next\nTwo three"
+    assert marked_text('<div class="no-sidebar"><p>Text</p><nav>Menu</nav></div>') == "Text"
     assert page_text.blocks(None) == [] and page_text.blocks("plain\n text")[0][0] == "plain text"
     assert page_text.blocks("<p>a<!-- b --><p title='>'>c</p><script>x") == [("a", False, 0), ("c", False, 0)]
 
 
-def test_repeated_runs():
+def test_selected_runs_cover_shared_blocks():
+    """Whole blocks that streams share are covered without a gap, whatever stands around them."""
     rnd = random.Random(2)
-    run = list(range(100, 112))
-    streams = [np.array([rnd.randrange(10**6) for _ in range(20)] + (run if k % 2 else run[:7]) + [rnd.randrange(10**6) for _ in range(5)]) for k in range(8)]
-    for k, mask in enumerate(page_text.repeated_runs(streams, 8, 3)):
-        want = np.zeros(len(streams[k]), bool)
-        windows = Counter(w for s in streams for w in {tuple(s[i : i + 8]) for i in range(len(s) - 7)})
-        for i in range(len(streams[k]) - 7):
-            if windows[tuple(streams[k][i : i + 8])] >= 3:
-                want[i : i + 8] = True
-        assert (mask == want).all()
-
-
-def test_extract(spark):
-    rnd = random.Random(4)
-    unique = [" ".join(rnd.choice(WORDS) for _ in range(30)) for _ in range(12)]
-    plate = "all rights to this fine page belong to the owner of the site"
-    pages = [(i, "http://h.org/" + str(i), f"<div>{u}</div><div>{plate}</div>") for i, u in enumerate(unique)] + [(50, "http://h.org/a", PAGE), (51, None, None), (52, "x", ""), (50, "http://h.org/a", PAGE)]
-    got = page_text.extract_text(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int")).collect()
+    for _ in range(60):
+        shared = [[rnd.randrange(10**6) for _ in range(rnd.randrange(1, 30))] for _ in range(rnd.randrange(1, 5))]
+        if sum(map(len, shared)) < page_text.LEAST_RUN:
+            continue
+        seen = []
+        for _ in range(2):
+            before, after = ([[rnd.randrange(10**6) for _ in range(rnd.randrange(1, 20))] for _ in range(2)] for _ in range(2))
+            parts = before + shared + after
+            stream, ends = np.array(sum(parts, [])), np.cumsum([len(x) for x in parts])
+            at = page_text.selected(stream, ends)
+            a = len(before[0]) + len(before[1])
+            z = a + sum(map(len, shared))
+            inside = [p for p in at.tolist() if a <= p <= z - page_text.LEAST_RUN]
+            covered = {q for p in inside for q in range(p, p + page_text.LEAST_RUN)}
+            assert covered == set(range(a, z))
+            seen.append({p - a for p in inside})
+        assert len(seen[0] & seen[1]) >= 2 or len(seen[0]) == 1
+        both = {q for p in seen[0] & seen[1] for q in range(p, p + page_text.LEAST_RUN)}
+        assert both == set(range(sum(map(len, shared))))
+
+
+def test_packed_runs():
+    runs = np.array([0, 1, 2**48 - 1, 77, 2**40 + 5])
+    assert (page_text.unpacked(page_text.packed(runs)) == runs).all() and len(page_text.unpacked(b"")) == 0
+
+
+def brute_texts(pages):
+    """The rules of main_text() from all windows of all pages of a host, counted in a dictionary."""
+    parsed = [(i, (re.findall("//([^/]+)", u or "") or [""])[0], [(t, m) for t, off, m in page_text.page_blocks(h) if not off]) for i, u, h in pages]
+    n, of_host = Counter(), Counter(h for _, h, _ in parsed)
+    stream = lambda b: [w for t, _ in b for w in t.split()]
+    k = page_text.LEAST_RUN
+    for _, h, b in parsed:
+        s = stream(b)
+        n.update({(h, *s[i : i + k]) for i in range(len(s) - k + 1)})
+    out = []
+    for i, h, b in parsed:
+        s, best = stream(b), max((m for _, m in b), default=0)
+        need = max(page_text.ARTICLE_PAGES, page_text.ARTICLE_SHARE * of_host[h]) if best >= 2 else page_text.LEAST_PAGES
+        mask = [False] * len(s)
+        for j in range(len(s) - k + 1):
+            if n[(h, *s[j : j + k])] >= need:
+                mask[j : j + k] = [True] * k
+        at, own = 0, []
+        for t, m in b:
+            size = len(t.split())
+            if m == best:
+                own.append((t, size, sum(mask[at : at + size]) >= page_text.COVERED * size))
+            at += size
+        gone, whole = sum(s for _, s, c in own if c), sum(s for _, s, _ in own)
+        keep_all = gone > whole / 2 if best >= 2 else gone == whole
+        out.append((i, "\n".join(t for t, _, c in own if keep_all or not c)))
+    return out
+
+
+def site(n=60, seed=4):
+    """Pages of hosts with unmarked menus and notices, articles with notices of the site, quotations, copies and near copies."""
+    rnd = random.Random(seed)
+    words = lambda k: " ".join(rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(k))
+    menu, plate, notice, quote = "".join(f"<div>{words(rnd.randrange(1, 4))}</div>" for _ in range(8)), words(13), words(20), words(60)
+    pages = []
+    for i in range(n):
+        pages.append((i, f"http://plain.org/{i}", f"{menu}<div>{words(30)}</div><div>{plate if i % 3 else words(9)}</div>" + (f"<div>{quote}</div>" if i in (7, 9) else "")))
+        pages.append((1000 + i, f"http://marked.org/{i}", f"{menu}<article><p>{words(80)}</p>" + (f"<p>{notice}</p>" if i % 4 else "") + (f"<p>{quote}</p>" if i % 5 == 0 else "") + f"<p>{words(40)}</p></article>"))
+    copy = f"<article><p>{words(70)}</p><p>{words(50)}</p></article>"
+    pages += [(3000 + i, f"http://copies.org/{i}", copy) for i in range(12)]
+    pages += [(4000 + i, f"http://few.org/{i}", f"<article><p>{words(40)}</p><p>{notice}</p></article>") for i in range(4)]
+    pages += [(5000 + i, "http://same.org/", f"<div>{plate}</div>") for i in range(5)]
+    return pages, notice, quote, plate
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_extract(spark, monkeypatch, most):
+    """The suffix array decides inside articles and elsewhere, as brute force over whole hosts does, broadcast or joined."""
+    monkeypatch.setattr(page_text, "MOST_RUNS", most)
+    monkeypatch.setattr(page_text, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(page_text, "FLUSH", 700)
+    pages, notice, quote, plate = site()
+    pages += [(9050, "http://h.org/a", PAGE), (9051, None, None), (9052, "x", ""), (9050, "http://h.org/a", PAGE)]
+    got = page_text.extract_text(spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, text int").repartition(5)).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter(brute_texts(pages))
     by = {r.page_id: r for r in got}
-    assert len(got) == len(pages) and all(by[i].text == u for i, u in enumerate(unique))
-    assert by[51].text == "" and by[52].n_chars == 0 and by[50].text.startswith("Head&line") and by[50].n_chars == len(by[50].text)
+    assert not any(notice in by[1000 + i].text or plate in by[i].text for i in range(50))
+    assert quote in by[1000].text and quote in by[7].text and all(len(by[3000 + i].text.split()) == 120 and notice in by[4000 + i % 4].text for i in range(12))
+    assert by[9051].text == "" and by[9052].n_chars == 0 and by[5000].text == plate and all(r.n_chars == len(r.text) for r in got)
     assert page_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("shard", [1_000_000, 2000])
-def test_runs_of_the_whole_host(spark, monkeypatch, shard):
-    """A notice on 3 of 100 pages goes however the host is dealt into shards; one on 2 pages stays."""
-    monkeypatch.setattr(page_text, "SHARD_BYTES", shard)
-    rnd = random.Random(14)
-    unique = [" ".join(rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(30)) for _ in range(100)]
-    notice, twice = "this old notice is on just three pages of the whole host", "that other notice is on no more than two pages of it"
-    more = {i: f"<div>{notice}</div>" for i in (3, 40, 77)} | {i: f"<div>{twice}</div>" for i in (5, 50)}
-    pages = [(i, f"http://h.org/{i}", f"<div>{u}</div>" + more.get(i, "")) for i, u in enumerate(unique)]
-    got = {r.page_id: r.text for r in page_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {i: u + ("\n" + twice if i in (5, 50) else "") for i, u in enumerate(unique)}
+def test_large_host(spark, monkeypatch):
+    """A host of 5 MB, in many buckets, tasks and flushes, gives what brute force gives."""
+    monkeypatch.setattr(page_text, "BUCKET_BYTES", 300_000)
+    monkeypatch.setattr(page_text, "FLUSH", 20_000)
+    pages = [(i, u.replace("plain", "one").replace("marked", "one"), h) for i, u, h in site(2900, 5)[0]]
+    assert sum(len(h) for _, _, h in pages) > 5_000_000
+    got = page_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter(brute_texts(pages))
 
 
 # 5
