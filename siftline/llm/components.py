@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import drop_stash, stash
+from siftline.llm.common import drop_stash, join_salted, stash
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -18,13 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of edges (a, b: long) that is not the smallest of its component, which is its root.
 
     Each round hangs the larger neighbours of a node on the smallest of them, then all on that; the number of rounds grows with
-    the logarithm of the component's size. Loops and repeated or reversed links do no harm, no links give no rows.
+    the logarithm of the component's size. The neighbours of a hub are dealt over salts. Loops and repeated or reversed links do no harm, no links give no rows.
     """
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while not _settled(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_salted(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stash(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")

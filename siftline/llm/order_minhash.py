@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import join_hot, stash
+from siftline.llm.common import join_hot, join_salted, map_arrow, stash
 from siftline.llm.components import components
 
 #: Words of a k-mer, k-mers of a sketch, number of sketches, least edit similarity on words.
 K, TAKE, SKETCHES, SIMILARITY = 5, 2, 80, 0.8
 #: Elements of the table of ranks that is held at once for one document.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Bits that stand for a text's pairs of neighbouring words; members of a bucket that a task compares with as many others at once.
 BITS, BLOCK = 1024, 1024
 
@@ -182,15 +182,17 @@ def text_codes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """node, codes of the texts of all nodes in pairs (a, b: node ids); no other texts are moved."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    return stash(texts.mapInArrow(_codes, "node long, codes binary"), "near-codes")
+    return stash(map_arrow(texts, _codes, "node long, codes binary"), "near-codes")
 
 
 def verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """The pairs (a, b: node ids, repeated by no other row) whose texts are similar; codes from text_codes()."""
+    """The pairs (a, b: node ids, repeated by no other row; a stash) whose texts are similar; codes from text_codes().
+
+    b may be the leader of any number of pairs, which are dealt over salts."""
     codes = codes.distinct()
-    one = pairs.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a")
-    two = one.join(codes.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long").distinct()
+    one = join_salted(pairs, codes.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
+    two = one.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a")
+    return map_arrow(two.select("a", "b", "x", "y"), _verified, "a long, b long").distinct()
 
 
 def pair_bits(codes: np.ndarray) -> np.ndarray:
@@ -237,16 +239,21 @@ def _rivals(group: pa.Table) -> pa.Table:
 def rivals(members: DataFrame, roots: DataFrame, codes: DataFrame) -> DataFrame:
     """Pairs (a, b) of members (key, node) of one bucket that are in different classes and may be similar.
 
-    A bucket of more than BLOCK members is dealt into blocks by a hash of the node, and each two blocks meet in a group of their
-    own, so no task holds a whole bucket, and what comes out are the pairs that pass the bounds, not all pairs of the bucket.
+    The members of a bucket's largest class never meet each other. They and the others are dealt into blocks of about BLOCK members
+    by a hash of the node, and every two blocks that have something to compare meet in a group of their own, so no task holds a
+    whole bucket, and what comes out are the pairs that pass the bounds, not all pairs of the bucket.
     """
     classes = stash(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-members")
-    mixed = classes.groupBy("key").agg(F.count("*").alias("_n"), (F.min("root") < F.max("root")).alias("_mixed")).where("_mixed").select("key", "_n")
-    held = join_hot(classes, stash(mixed, "near-mixed", codec="uncompressed"), "key", "_n", how="inner")
-    held = held.join(codes.mapInArrow(_bits, "node long, words long, bits binary").distinct(), "node")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    dealt = held.withColumn("_own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = dealt.select("key", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), F.col("_own").alias("side"), "node", "root", "words", "bits")
+    of_class = classes.groupBy("key", "root").agg(F.count("*").alias("_c"))
+    sizes = of_class.groupBy("key").agg(F.sum("_c").alias("_n"), F.max("_c").alias("_most"), F.max_by("root", "_c").alias("_big")).where("_most < _n")
+    held = join_hot(classes, stash(sizes, "near-mixed", codec="uncompressed"), "key", "_n", how="inner")
+    held = held.join(map_arrow(codes, _bits, "node long, words long, bits binary").distinct(), "node")
+    rest, big = (F.ceil(n / BLOCK).cast("int") for n in (F.col("_n") - F.col("_most"), F.col("_most")))
+    in_big, dealt = F.col("root") == F.col("_big"), F.xxhash64("node")
+    own = F.when(in_big, rest + F.pmod(dealt, big)).otherwise(F.pmod(dealt, rest)).cast("int")
+    others = F.sequence(F.lit(0), F.when(in_big, rest).otherwise(rest + big) - 1)
+    cells = held.withColumn("side", own).withColumn("_other", F.explode(others))
+    cells = cells.select("key", F.least("side", "_other").alias("_low"), F.greatest("side", "_other").alias("_high"), "side", "node", "root", "words", "bits")
     return cells.groupBy("key", "_low", "_high").applyInArrow(_rivals, "a long, b long").distinct()
 
 
@@ -280,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null if none has an id. Other columns are ignored.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stash(ids.mapInArrow(_sketches, "doc_id long, digest binary, keys array<long>"), "near-rows", codec="uncompressed")
+    rows = stash(map_arrow(ids, _sketches, "doc_id long, digest binary, keys array<long>"), "near-rows", codec="uncompressed")
     worded = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
     reps = stash(worded, "near-reps", codec="uncompressed")
     roots = links(reps.where("node IS NOT NULL").select("node", "keys"), ids)

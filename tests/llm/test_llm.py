@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import adaptive_rules, byte_cnn, components, lattice_lm, lengths, line_runs, mixing, order_minhash, page_text, tiling, warc_store
-from siftline.llm.common import prefix_sums
+from siftline.llm.common import join_salted, prefix_sums
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in "ba ke li mo nu ra se ti vo zu".split() for b in "n r l s t m".split()]
@@ -510,6 +510,48 @@ def test_near_copies_behind_a_foreign_leader(spark, monkeypatch, block):
     assert got == {i: min(i, 20) for i in tokens}
 
 
+def test_strangers_in_a_bucket_of_copies(spark, monkeypatch):
+    """A bucket of many near copies and some strangers, in blocks: only pairs of different classes are compared, none is lost."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 5)
+    rnd = random.Random(24)
+    words = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    passage, own, other = words(60), words(40), words(42)
+    vary = lambda w: [x + "q" if rnd.random() < 0.02 else x for x in w]
+    data = [(i, " ".join(passage + words(40))) for i in range(3)] + [(10 + i, " ".join(passage + vary(own))) for i in range(23)] + [(40 + i, " ".join(passage + vary(other))) for i in range(4)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 10 else 10 if i < 40 else 40 for i, _ in data}
+    names = [i for i, _ in data]
+    members = spark.createDataFrame([(k, i) for k in (1, 2) for i in names], "key long, node long")
+    roots = spark.createDataFrame([(i, 10) for i in range(11, 33)] + [(i, 40) for i in range(41, 44)], "node long, root long")
+    codes = spark.createDataFrame([(i, bytearray(order_minhash.word_codes(t.encode().split()).tobytes())) for i, t in data], "node long, codes binary")
+    monkeypatch.setattr(order_minhash, "SIMILARITY", 0.1)  # bounds that let everything pass
+    root = {i: 10 if 10 <= i < 33 else 40 if i >= 40 else i for i in names}
+    pairs = order_minhash.rivals(members, roots, codes).collect()
+    assert sorted((r.a, r.b) for r in pairs) == sorted((i, j) for i in names for j in names if j < i and root[i] != root[j])
+
+
+def similar_at(rnd, n, share):
+    """Two word lists of n words of which a share is replaced, at random places."""
+    a = [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    b = list(a)
+    for k in rnd.sample(range(n), int(n * share)):
+        b[k] = rnd.choice(WORDS) + "q"
+    return a, b
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0.99), (0.10, 0.99), (0.15, 0.98), (0.20, 0.9)])
+def test_recall_by_similarity(share, least):
+    """How many pairs of an edit similarity of 1 - share meet in a sketch at all (0.20: the threshold itself)."""
+    rnd = random.Random(23)
+    met = 0
+    for _ in range(200):
+        a, b = similar_at(rnd, rnd.randrange(80, 300), share)
+        x, y = (order_minhash.sketch(np.array([zlib.crc32(w.encode()) for w in c], np.uint32)) for c in (a, b))
+        met += bool((x == y).any())
+    print("recall", share, met / 200)
+    assert met / 200 >= least
+
+
 def test_pair_bits_bound():
     rnd = random.Random(22)
     for _ in range(300):
@@ -530,9 +572,9 @@ def test_keep_one(spark, docs):
     assert Counter(r.doc_id for r in order_minhash.keep_one(docs).collect())[1005] == 1
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rnd = random.Random(3)
-    edges = [(k, k + 1) for k in range(0, 40)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)] + [(7, 7), (3, 2)]
+    edges = [(k, k + 1) for k in range(0, 40)] + [(200, k) for k in range(201, 230)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)] + [(7, 7), (3, 2)]
     root = {}
 
     def find(i):
@@ -544,8 +586,10 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: find(i) for i in root if find(i) != i}
+    for per in (20_000, 3):  # hubs whole, and dealt over salts
+        monkeypatch.setattr(components, "join_salted", lambda left, right, key, per=per: join_salted(left, right, key, per))
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {i: find(i) for i in root if find(i) != i}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
