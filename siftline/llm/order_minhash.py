@@ -18,8 +18,8 @@ from siftline.llm.components import components
 K, TAKE, SKETCHES, SIMILARITY = 5, 2, 80, 0.8
 #: Elements of the table of ranks that is held at once for one document.
 HELD = 1 << 20
-#: Bits that stand for a text's pairs of neighbouring words; members of a bucket that a task compares with as many others at once.
-BITS, BLOCK = 1024, 1024
+#: Bits for each word of a text that stand for its words; members of a bucket that a task compares with as many others at once.
+BITS_EACH, BLOCK = 8, 1024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -195,43 +195,66 @@ def verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     return map_arrow(two.select("a", "b", "x", "y"), _verified, "a long, b long").distinct()
 
 
-def pair_bits(codes: np.ndarray) -> np.ndarray:
-    """BITS bits in which each pair of neighbouring words sets one. An edit of a word touches at most two such pairs, so two texts
-    of distance d have at most 2 d bits that the other one lacks."""
-    bits = np.zeros(BITS, bool)
-    if len(codes) > 1:
-        bits[kmers(codes, 2) % np.uint64(BITS)] = True
-    return np.packbits(bits)
+def word_bits(codes: np.ndarray) -> np.ndarray:
+    """A power of two of bits, BITS_EACH or more a word and 64 at least, in bytes: each word sets one, a repeated word one for each
+    time. Two texts of edit distance d have at most d bits that the other one lacks, also when the larger is folded."""
+    size = 64
+    while size < BITS_EACH * len(codes):
+        size <<= 1
+    bits = np.zeros(size, bool)
+    if len(codes):
+        h = codes.astype(np.uint64)
+        bits[_mixed(h + occurrences(h).astype(np.uint64) * _PRIME) & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits folded to half their number."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
 
 
 def _bits(batches):
     for b in batches:
         codes = [np.frombuffer(x.as_py(), np.uint32) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in codes], pa.int64()), pa.array([pair_bits(c).tobytes() for c in codes], pa.binary())], names=["node", "words", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in codes], pa.int64()), pa.array([word_bits(c).tobytes() for c in codes], pa.binary())], names=["node", "words", "bits"])
+
+
+def _near_rows(own: np.ndarray, bits: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which rows of bits lack at most `most` of own's bits, and own of theirs."""
+    lost, more = np.bitwise_count(own & ~bits).sum(axis=1), np.bitwise_count(bits & ~own).sum(axis=1)
+    return np.maximum(lost, more) <= most
 
 
 def _rivals(group: pa.Table) -> pa.Table:
-    """Pairs of members of different classes (of different sides, if there are two) that lengths and pair_bits() let be similar."""
+    """Pairs of members of different classes (of different sides, if there are two) that lengths and word_bits() let be similar."""
     words = group.column("words").to_numpy()
     order = np.argsort(words, kind="stable")
     words = words[order]
     node, root, side = (group.column(c).to_numpy()[order] for c in ("node", "root", "side"))
-    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(words), -1)[order]
+    listed = group.column("bits").take(pa.array(order)).to_pylist()
     most = ((1 - SIMILARITY) * words + 1e-9).astype(np.int64)
     ends = np.searchsorted(words - most, words, side="right")
     split = (side != side[0]).any()
     a, b = [], []
-    for i, end in enumerate(ends.tolist()):
-        if end <= i + 1:
-            continue
-        good = root[i + 1 : end] != root[i]
-        if split:
-            good &= side[i + 1 : end] != side[i]
-        at = np.flatnonzero(good) + i + 1
-        lost, more = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1), np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1)
-        at = at[np.maximum(lost, more) <= 2 * most[at]]
-        a.append(np.maximum(node[at], node[i]))
-        b.append(np.minimum(node[at], node[i]))
+    # Members of one size of bits stand together; a similar text is of the same size or the next one.
+    sizes = np.array([len(x) for x in listed])
+    starts = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1])).tolist() + [len(words)]
+    tables = [np.frombuffer(b"".join(listed[x:y]), np.uint64).reshape(y - x, -1) for x, y in zip(starts, starts[1:], strict=False)]
+    for t, (x, y) in enumerate(zip(starts, starts[1:], strict=False)):
+        wider = folded(tables[t + 1]) if y < len(words) and sizes[y] == 2 * sizes[x] else None
+        for i in range(x, y):
+            for from_, to, table in ((i + 1, min(int(ends[i]), y), tables[t]), (y, min(int(ends[i]), starts[t + 2]) if wider is not None else y, wider)):
+                base = x if table is tables[t] else y
+                if to <= from_:
+                    continue
+                good = root[from_:to] != root[i]
+                if split:
+                    good &= side[from_:to] != side[i]
+                at = np.flatnonzero(good) + from_
+                at = at[_near_rows(tables[t][i - x], table[at - base], most[at])]
+                a.append(np.maximum(node[at], node[i]))
+                b.append(np.minimum(node[at], node[i]))
     none = np.empty(0, np.int64)
     return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
 

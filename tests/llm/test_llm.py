@@ -523,8 +523,7 @@ def test_strangers_in_a_bucket_of_copies(spark, monkeypatch):
     names = [i for i, _ in data]
     members = spark.createDataFrame([(k, i) for k in (1, 2) for i in names], "key long, node long")
     roots = spark.createDataFrame([(i, 10) for i in range(11, 33)] + [(i, 40) for i in range(41, 44)], "node long, root long")
-    codes = spark.createDataFrame([(i, bytearray(order_minhash.word_codes(t.encode().split()).tobytes())) for i, t in data], "node long, codes binary")
-    monkeypatch.setattr(order_minhash, "SIMILARITY", 0.1)  # bounds that let everything pass
+    codes = spark.createDataFrame([(i, bytearray(order_minhash.word_codes([b"same"] * 9).tobytes())) for i in names], "node long, codes binary")  # nothing is ruled out
     root = {i: 10 if 10 <= i < 33 else 40 if i >= 40 else i for i in names}
     pairs = order_minhash.rivals(members, roots, codes).collect()
     assert sorted((r.a, r.b) for r in pairs) == sorted((i, j) for i in names for j in names if j < i and root[i] != root[j])
@@ -552,16 +551,45 @@ def test_recall_by_similarity(share, least):
     assert met / 200 >= least
 
 
-def test_pair_bits_bound():
+def test_word_bits_bound():
     rnd = random.Random(22)
-    for _ in range(300):
-        a = [rnd.randrange(500) for _ in range(rnd.randrange(60))]
+    for _ in range(600):
+        a = [rnd.randrange(rnd.choice([4, 500])) for _ in range(rnd.randrange(60))]
         b = list(a)
         for _ in range(rnd.randrange(12)):
             b.insert(rnd.randrange(len(b) + 1), rnd.randrange(500))
-            del b[rnd.randrange(len(b))]
-        x, y = (order_minhash.pair_bits(np.array(c, np.uint32)) for c in (a, b))
-        assert max(np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()) <= 2 * plain_distance(a, b)
+            if rnd.random() < 0.7:
+                del b[rnd.randrange(len(b))]
+        x, y = sorted((order_minhash.word_bits(np.array(c, np.uint32))[None] for c in (a, b)), key=lambda t: t.shape[1])
+        while x.shape[1] < y.shape[1]:
+            y = order_minhash.folded(y)
+        assert max(np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()) <= plain_distance(a, b)
+
+
+def test_rivals_lose_no_similar_pair():
+    """All similar pairs of different classes come out of a cell, whatever sizes of bits meet there."""
+    import pyarrow as pa
+
+    rnd = random.Random(25)
+    texts = []
+    for n in (1, 3, 7, 8, 9, 15, 16, 17, 30, 31, 33, 60, 64, 66, 130):
+        base = [rnd.choice(WORDS) for _ in range(n)]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rnd.randrange(max(1, n // 5) + 1)):
+                if rnd.random() < 0.5 and len(w) > 1:
+                    del w[rnd.randrange(len(w))]
+                else:
+                    w.insert(rnd.randrange(len(w) + 1), rnd.choice(WORDS))
+            texts.append(w)
+    codes = [order_minhash.word_codes([x.encode() for x in w]) for w in texts]
+    ids = list(range(len(texts)))
+    for side in ([0] * len(ids), [i % 2 for i in ids]):
+        cell = pa.table({"words": [len(c) for c in codes], "node": ids, "root": [i // 3 for i in ids], "side": side, "bits": [order_minhash.word_bits(c).tobytes() for c in codes]})
+        got = order_minhash._rivals(cell)
+        got = set(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+        want = {(i, j) for i in ids for j in range(i) if i // 3 != j // 3 and (not any(side) or side[i] != side[j]) and order_minhash.similar(codes[i], codes[j])}
+        assert len(want) > 20 and want <= got
 
 
 def test_keep_one(spark, docs):
