@@ -226,11 +226,21 @@ def _near_rows(own: np.ndarray, bits: np.ndarray, most: np.ndarray) -> np.ndarra
     return np.maximum(lost, more) <= most
 
 
+def _short_keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(k, np.int64).astype(np.uint32).tobytes() for k in b.column(1).to_pylist()], pa.binary())], names=["node", "short"])
+
+
 def _rivals(group: pa.Table) -> pa.Table:
-    """Pairs of members of different classes (of different sides, if there are two) that lengths and word_bits() let be similar."""
+    """Pairs of members of different classes (of different sides, if there are two) that lengths and word_bits() let be similar.
+
+    Members that share several buckets meet in that of their first common sketch alone; `short` has 32 bits of each of their keys.
+    """
     words = group.column("words").to_numpy()
     order = np.argsort(words, kind="stable")
     words = words[order]
+    short = np.frombuffer(b"".join(group.column("short").take(pa.array(order)).to_pylist()), np.uint32).reshape(len(words), -1)
+    here = int((short[0] == np.uint32(group.column("key")[0].as_py() & 0xFFFFFFFF)).argmax())
     node, root, side = (group.column(c).to_numpy()[order] for c in ("node", "root", "side"))
     listed = group.column("bits").take(pa.array(order)).to_pylist()
     most = ((1 - SIMILARITY) * words + 1e-9).astype(np.int64)
@@ -252,6 +262,7 @@ def _rivals(group: pa.Table) -> pa.Table:
                 if split:
                     good &= side[from_:to] != side[i]
                 at = np.flatnonzero(good) + from_
+                at = at[(short[at] == short[i]).argmax(axis=1) == here]
                 at = at[_near_rows(tables[t][i - x], table[at - base], most[at])]
                 a.append(np.maximum(node[at], node[i]))
                 b.append(np.minimum(node[at], node[i]))
@@ -259,8 +270,8 @@ def _rivals(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
 
 
-def rivals(members: DataFrame, roots: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (key, node) of one bucket that are in different classes and may be similar.
+def rivals(members: DataFrame, roots: DataFrame, codes: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once, of members (key, node) of one bucket that are in different classes and may be similar.
 
     The members of a bucket's largest class never meet each other. They and the others are dealt into blocks of about BLOCK members
     by a hash of the node, and every two blocks that have something to compare meet in a group of their own, so no task holds a
@@ -270,14 +281,15 @@ def rivals(members: DataFrame, roots: DataFrame, codes: DataFrame) -> DataFrame:
     of_class = classes.groupBy("key", "root").agg(F.count("*").alias("_c"))
     sizes = of_class.groupBy("key").agg(F.sum("_c").alias("_n"), F.max("_c").alias("_most"), F.max_by("root", "_c").alias("_big")).where("_most < _n")
     held = join_hot(classes, stash(sizes, "near-mixed", codec="uncompressed"), "key", "_n", how="inner")
-    held = held.join(map_arrow(codes, _bits, "node long, words long, bits binary").distinct(), "node")
+    facts = map_arrow(codes, _bits, "node long, words long, bits binary").distinct().join(map_arrow(reps.select("node", "keys"), _short_keys, "node long, short binary"), "node")
+    held = held.join(facts, "node")
     rest, big = (F.ceil(n / BLOCK).cast("int") for n in (F.col("_n") - F.col("_most"), F.col("_most")))
     in_big, dealt = F.col("root") == F.col("_big"), F.xxhash64("node")
     own = F.when(in_big, rest + F.pmod(dealt, big)).otherwise(F.pmod(dealt, rest)).cast("int")
     others = F.sequence(F.lit(0), F.when(in_big, rest).otherwise(rest + big) - 1)
     cells = held.withColumn("side", own).withColumn("_other", F.explode(others))
-    cells = cells.select("key", F.least("side", "_other").alias("_low"), F.greatest("side", "_other").alias("_high"), "side", "node", "root", "words", "bits")
-    return cells.groupBy("key", "_low", "_high").applyInArrow(_rivals, "a long, b long").distinct()
+    cells = cells.select("key", F.least("side", "_other").alias("_low"), F.greatest("side", "_other").alias("_high"), "side", "node", "root", "words", "bits", "short")
+    return cells.groupBy("key", "_low", "_high").applyInArrow(_rivals, "a long, b long")
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -296,7 +308,7 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     codes = text_codes(pairs, docs)
     found = stash(verify(pairs, codes), "near-links")
     roots = components(found)
-    more = stash(rivals(members.select("key", "node"), roots, codes).join(pairs, ["a", "b"], "left_anti"), "near-rivals")
+    more = stash(rivals(members.select("key", "node"), roots, codes, reps).join(pairs, ["a", "b"], "left_anti"), "near-rivals")
     good = stash(verify(more, codes), "near-links")
     return roots if good.isEmpty() else components(found.unionByName(good))
 

@@ -525,7 +525,8 @@ def test_strangers_in_a_bucket_of_copies(spark, monkeypatch):
     roots = spark.createDataFrame([(i, 10) for i in range(11, 33)] + [(i, 40) for i in range(41, 44)], "node long, root long")
     codes = spark.createDataFrame([(i, bytearray(order_minhash.word_codes([b"same"] * 9).tobytes())) for i in names], "node long, codes binary")  # nothing is ruled out
     root = {i: 10 if 10 <= i < 33 else 40 if i >= 40 else i for i in names}
-    pairs = order_minhash.rivals(members, roots, codes).collect()
+    reps = spark.createDataFrame([(i, [7 + i, 1, 2]) for i in names], "node long, keys array<long>")
+    pairs = order_minhash.rivals(members, roots, codes, reps).collect()
     assert sorted((r.a, r.b) for r in pairs) == sorted((i, j) for i in names for j in names if j < i and root[i] != root[j])
 
 
@@ -585,7 +586,7 @@ def test_rivals_lose_no_similar_pair():
     codes = [order_minhash.word_codes([x.encode() for x in w]) for w in texts]
     ids = list(range(len(texts)))
     for side in ([0] * len(ids), [i % 2 for i in ids]):
-        cell = pa.table({"words": [len(c) for c in codes], "node": ids, "root": [i // 3 for i in ids], "side": side, "bits": [order_minhash.word_bits(c).tobytes() for c in codes]})
+        cell = pa.table({"words": [len(c) for c in codes], "node": ids, "root": [i // 3 for i in ids], "side": side, "bits": [order_minhash.word_bits(c).tobytes() for c in codes], "key": [5] * len(ids), "short": [np.array([i, 5], np.uint32).tobytes() for i in ids]})
         got = order_minhash._rivals(cell)
         got = set(zip(got["a"].to_pylist(), got["b"].to_pylist()))
         want = {(i, j) for i in ids for j in range(i) if i // 3 != j // 3 and (not any(side) or side[i] != side[j]) and order_minhash.similar(codes[i], codes[j])}
