@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 FLAGS = "(?iuUd)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-URL = r"https?://[^\s<>\"']+|[A-Za-z0-9][A-Za-z0-9.@_-]*\.[A-Za-z]{2,}[^\s<>\"']*"
+# What counts as a URL (a scheme and what follows it up to white space, else a run that begins with a letter or
+# digit and has a dot before two letters), as an address, and as the host of a URL.
+URL = r"https?://\S*|[A-Za-z0-9]\S*\.[A-Za-z]{2,}\S*"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 SCHEME_HOST = r"(?d)^(https?://)?([^/:?#]+).*"
 
@@ -34,6 +36,7 @@ def json_int(payload: Column, key: str, default: int = 0) -> Column:
 
 
 def extract_urls(c: Column) -> Column:
+    """All URLs from left to right; white space of any script ends one."""
     return F.regexp_extract_all(or_empty(c), F.lit("(?U)" + URL), F.lit(0))
 
 

@@ -12,21 +12,32 @@ from pyspark.sql import types as T
 
 from siftline.functions.text import char_bigrams, jaccard
 
-#: Distinct labels that the driver-side loops take; more are an error.
-MOST_LABELS = 20_000
+#: Distinct labels that the driver-side loops take (a matrix of 72 MB and its copy); more are an error.
+MOST_LABELS = 3000
 
 
 def similar_pairs(labels: DataFrame, least: float = 0.0) -> DataFrame:
     """a, b, sim of every two labels (a < b) that share a bigram, with their Jaccard similarity above `least`.
 
-    Pairs are found through shared bigrams, so labels without one, whose similarity is 0, are never compared.
+    Labels meet on their rarest bigrams only, as many as a pair above `least` must share one of, so a common letter brings nothing
+    together. With `least` 0 that is all bigrams, and labels are checked to be no more than MOST_LABELS.
     """
+    from pyspark.sql.window import Window
+
     grams = labels.select("label").distinct().withColumn("g", char_bigrams(F.col("label")))
-    each = grams.select("label", F.explode("g").alias("x"), F.size("g").alias("n"))
-    left, right = each.select(F.col("label").alias("a"), "x", F.col("n").alias("na")), each.select(F.col("label").alias("b"), "x", F.col("n").alias("nb"))
-    both = left.join(right, "x").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    sim = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return both.select("a", "b", sim.alias("sim")).where(F.col("sim") > least)
+    if least <= 0:
+        _bounded(grams.select("label"))
+    each = grams.select("label", "g", F.explode("g").alias("x"))
+    rare = each.join(each.groupBy("x").agg(F.count("*").alias("c")), "x").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("c", "x")))
+    first = rare.where(F.col("r") <= F.size("g") - F.ceil(F.size("g") * max(0.0, least) - 1e-9) + 1).select("label", "g", "x")
+    left, right = first.select(F.col("label").alias("a"), "x", F.col("g").alias("ga")), first.select(F.col("label").alias("b"), "x", F.col("g").alias("gb"))
+    both = left.join(right, "x").where("a < b").dropDuplicates(["a", "b"])
+    return both.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("sim")).where((F.col("sim") > least) & (F.col("sim") > 0))
+
+
+def top_pairs(labels: DataFrame, n: int = 20, least: float = 0.0) -> DataFrame:
+    """The n most similar pairs; ties in the order of the labels."""
+    return similar_pairs(labels, least).orderBy(F.desc("sim"), "a", "b").limit(n)
 
 
 def similarity(a, b):
@@ -93,8 +104,10 @@ def project(rows: DataFrame, dims: int = 64, vector: str = "embedding") -> DataF
 
 def kmeans(rows: DataFrame, k: int = 5, seeds: int = 10, vector: str = "embedding") -> DataFrame:
     """rows with cluster, of the best of several seeded runs by training cost."""
-    x = rows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>"))).cache()
-    models = [KMeans(k=k, seed=42 + s, featuresCol="_v", predictionCol="cluster").fit(x) for s in range(seeds)]
+    x = rows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    held = x.select("_v").cache()
+    models = [KMeans(k=k, seed=42 + s, featuresCol="_v", predictionCol="cluster").fit(held) for s in range(seeds)]
+    held.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost).transform(x).drop("_v")
 
 
@@ -128,21 +141,27 @@ def balanced_label_clusters(centroids: DataFrame, k: int = 5, seed: int = 42) ->
     return centroids.sparkSession.createDataFrame([(r["label"], int(c)) for r, c in zip(rows, of, strict=True)], schema)
 
 
-def silhouette(points: np.ndarray, clusters: np.ndarray) -> float:
-    """Mean Euclidean silhouette of a few thousand points; 0 for a point alone in its cluster."""
-    d = np.linalg.norm(points[:, None] - points[None], axis=-1)
-    names = np.unique(clusters)
+def silhouette(points: np.ndarray, clusters: np.ndarray, block: int = 256) -> float:
+    """Mean Euclidean silhouette of a few thousand points, `block` rows of distances at a time; 0 for a point alone in its cluster."""
+    names, own = np.unique(clusters, return_inverse=True)
     if len(names) < 2:
         return 0.0
-    sums = np.stack([d[:, clusters == c].sum(1) for c in names], 1)
-    sizes = np.array([(clusters == c).sum() for c in names])
-    own = np.searchsorted(names, clusters)
-    rows = np.arange(len(points))
-    a = sums[rows, own] / np.maximum(1, sizes[own] - 1)
-    other = sums / sizes
-    other[rows, own] = np.inf
-    b = other.min(1)
-    return float(np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).mean())
+    sizes = np.bincount(own)
+    member = np.eye(len(names))[own]
+    squares = (points**2).sum(1)
+    total = 0.0
+    for s in range(0, len(points), block):
+        part, at = points[s : s + block], own[s : s + block]
+        d = np.sqrt(np.maximum(squares[s : s + block, None] + squares[None] - 2 * part @ points.T, 0))
+        d[np.arange(len(part)), np.arange(s, s + len(part))] = 0
+        sums = d @ member
+        rows = np.arange(len(part))
+        a = sums[rows, at] / np.maximum(1, sizes[at] - 1)
+        other = sums / sizes
+        other[rows, at] = np.inf
+        b = other.min(1)
+        total += float(np.where(sizes[at] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).sum())
+    return total / len(points)
 
 
 def label_silhouette(centroids: DataFrame, clusters: DataFrame) -> float:

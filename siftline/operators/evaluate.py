@@ -127,3 +127,31 @@ def compare_labels(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
     aligned = common.join(F.broadcast(mapping), "b")
     by_label = aligned.groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("mapped")).alias("agree"))
     return {"overlap": overlap, "confusion": matrix, "mapping": mapping, "by_label": by_label, "aligned": aligned.groupBy("a", "mapped").agg(F.count("*").alias("cnt")), "mismatches": aligned.where("a <> mapped")}
+
+
+def low_confidence(wide: DataFrame, threshold: float = 0.7, conf: str = "model_conf", order: str = "seq") -> DataFrame:
+    """The rows whose model is unsure, in the table's order."""
+    return wide.where(F.col(conf) < threshold).orderBy(order)
+
+
+def compare_on(sample: DataFrame, labels: DataFrame, wide: DataFrame, taxonomy: list[str], columns: tuple[str, ...] = ("rule_cat", "model_cat", "category")) -> DataFrame:
+    """record_id, truth and the verdict columns of sampled rows with a valid label; a row that a strategy lacks has ''.
+
+    labels: record_id, llm_category, llm_confidence, error. The same sample serves all comparisons: coverage(), confusion(),
+    per_class(), pair_counts() and outcome()."""
+    truth = sample.select("record_id").join(labels.where(valid_label(taxonomy)).select("record_id", F.col("llm_category").alias("truth")), "record_id")
+    return truth.join(wide.select("record_id", *columns), "record_id", "left").select("record_id", "truth", *(or_empty(F.col(c)).alias(c) for c in columns))
+
+
+def pair_counts(rows: DataFrame, a: str = "rule_cat", b: str = "model_cat", limit: int | None = None) -> DataFrame:
+    """a, b, cnt of two verdict columns where the first one has a verdict, most frequent first."""
+    out = rows.where(or_empty(F.col(a)) != "").groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("cnt"))
+    return out if limit is None else out.orderBy(F.desc("cnt"), "a", "b").limit(limit)
+
+
+def union_labels(*parts: DataFrame) -> DataFrame:
+    """label: the distinct non-empty labels of several tables."""
+    out = parts[0].select("label")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("label"))
+    return out.where(or_empty(F.col("label")) != "").distinct()

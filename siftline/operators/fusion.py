@@ -110,3 +110,22 @@ def hybrid_scores(rows: DataFrame, candidates: dict[str, Column]) -> DataFrame:
     stack = ", ".join(f"'{k}', `{k}`" for k in candidates)
     long = sums.selectExpr("n", f"stack({len(candidates)}, {stack}) AS (policy, correct)")
     return long.withColumn("accuracy", F.coalesce(F.try_divide(F.col("correct"), F.col("n")), F.lit(0.0)))
+
+
+def summary(fused: DataFrame, key_category: str | None = None) -> DataFrame:
+    """One row of counters: total, classified, unclassified and, if that column is given, by_key: rows that only their key classified."""
+    own = F.count_if(or_empty(F.col("category")) != "")
+    by_key = [] if key_category is None else [F.count_if((or_empty(F.col("category")) == "") & (or_empty(F.col(key_category)) != "")).alias("by_key")]
+    return fused.agg(F.count("*").alias("total"), own.alias("classified"), (F.count("*") - own).alias("unclassified"), *by_key)
+
+
+def long_report(sections: dict[str, DataFrame]) -> DataFrame:
+    """section, k1, k2, n of report sections that count (cnt, classified or n) by up to two keys, as one table."""
+    out = None
+    for name, df in sections.items():
+        n = next(c for c in ("cnt", "classified", "n", "total") if c in df.columns)
+        keys = [c for c, t in df.dtypes if t == "string"]
+        k = [F.col(c) for c in keys[:2]] + [F.lit(None).cast("string")] * (2 - len(keys[:2]))
+        part = df.select(F.lit(name).alias("section"), k[0].alias("k1"), k[1].alias("k2"), F.col(n).cast("long").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out

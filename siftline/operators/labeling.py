@@ -75,3 +75,52 @@ def label_stats(rows: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(~ok).alias("errors"), F.count_if(ok & (llm != "")).alias("labelled"),
         F.count_if(ok & (rule != "")).alias("with_rule"), F.count_if(ok & (rule != "") & (llm == rule)).alias("agree"),
     )
+
+
+def label_distribution(rows: DataFrame) -> DataFrame:
+    """which, category, cnt: how often the labeller gave each category and, of those rows, the rule did."""
+    good = rows.where((or_empty(F.col("error")) == "") & (or_empty(F.col("llm_category")) != ""))
+    pairs = F.explode(F.array(F.struct(F.lit("llm").alias("which"), F.col("llm_category").alias("category")), F.struct(F.lit("rule").alias("which"), F.col("rule_category").alias("category"))))
+    return good.select(pairs.alias("p")).select("p.*").where(or_empty(F.col("category")) != "").groupBy("which", "category").agg(F.count("*").alias("cnt"))
+
+
+def first_disagreements(rows: DataFrame, limit: int = 20, order: str = "seq") -> DataFrame:
+    """The first rows whose labeller and rule differ: record_id, subject (80 characters), rule, llm, llm_reason (100)."""
+    bad = rows.where((or_empty(F.col("error")) == "") & (F.col("llm_category") != "") & (F.col("rule_category") != "") & (F.col("llm_category") != F.col("rule_category")))
+    return bad.orderBy(order).limit(limit).select("record_id", F.substring("subject", 1, 80).alias("subject"), F.col("rule_category").alias("rule"), F.col("llm_category").alias("llm"), F.substring("llm_reason", 1, 100).alias("llm_reason"))
+
+
+def total_cost(rows: DataFrame, price_in: float, price_out: float) -> DataFrame:
+    """One row: the cost of all rows (tokens_in, tokens_out)."""
+    return rows.agg(F.coalesce(F.sum(F.col("tokens_in") * price_in + F.col("tokens_out") * price_out), F.lit(0.0)).alias("cost"))
+
+
+def http_labeller(url: str, model: str, key_env: str, style: str = "chat", timeout: float = 60.0) -> Callable[[], Labeller]:
+    """Makes labellers that ask a service over HTTP, one request for each prompt: style "chat" (messages; the reply in choices) or
+    "messages" (the reply in content). The key is read from the environment where the request is made; 429 and 5xx mean busy."""
+
+    def make() -> Labeller:
+        import json
+        import os
+        import urllib.error
+        import urllib.request
+
+        def one(prompt: str) -> tuple[str, int, int]:
+            key = os.environ.get(key_env, "")
+            auth = {"Authorization": f"Bearer {key}"} if style == "chat" else {"x-api-key": key}
+            body = {"model": model, "max_tokens": 256, "temperature": 0, "messages": [{"role": "user", "content": prompt}]}
+            request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **auth})
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    got = json.load(answer)
+            except urllib.error.HTTPError as e:
+                if e.code == 429 or e.code >= 500:
+                    raise Busy from e
+                raise
+            used = got.get("usage", {})
+            text = got["choices"][0]["message"]["content"] if style == "chat" else got["content"][0]["text"]
+            return text, used.get("prompt_tokens", used.get("input_tokens", 0)), used.get("completion_tokens", used.get("output_tokens", 0))
+
+        return lambda prompts: [one(p) for p in prompts]
+
+    return make

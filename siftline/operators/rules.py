@@ -32,11 +32,14 @@ def rule_counts(spark: SparkSession, rules: list[Rule], taxonomy: list[str] = ()
 
 
 def matches(rules: list[Rule], fields: dict[str, Column]) -> Column:
-    """The rules that a row matches, in their order, with the text that matched. Each rule reads its own field alone."""
-    array = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(FLAGS + p).alias("pattern"), F.lit(c).alias("category"), F.lit(float(w)).alias("confidence"), F.lit(why).alias("reason")) for f, p, c, w, why in rules))
-    texts = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), or_empty(v))))
-    hit = F.filter(array, lambda r: F.regexp_like(texts[r["field"]], r["pattern"]))
-    return F.transform(hit, lambda r: F.struct(r["category"], r["confidence"], r["reason"], F.substring(F.call_function("regexp_extract", texts[r["field"]], r["pattern"], F.lit(0)), 1, MATCH_CHARS).alias("text")))
+    """The rules that a row matches, in their order, with the text that matched. Each rule reads its own field alone; patterns are
+    literals of the plan, so each is compiled once a task."""
+    def hit(f: str, p: str, c: str, w: float, why: str) -> Column:
+        text, pattern = or_empty(fields[f]), F.lit(FLAGS + p)
+        found = F.substring(F.regexp_extract(text, FLAGS + p, 0), 1, MATCH_CHARS)
+        return F.when(F.regexp_like(text, pattern), F.struct(F.lit(c).alias("category"), F.lit(float(w)).alias("confidence"), F.lit(why).alias("reason"), found.alias("text")))
+
+    return F.filter(F.array(*(hit(*r) for r in rules)), lambda m: m.isNotNull())
 
 
 def best_category(found: Column, names: list[str], threshold: float = THRESHOLD) -> Column:

@@ -57,6 +57,16 @@ def proportional_sample(messages: DataFrame, n: int, seed: str, key: str = "reco
     return quota_sample(messages, proportional_quotas(counts, n), seed, key=key) if counts else messages.limit(0)
 
 
+def capped_per_label(rows: DataFrame, label: str, n: int = 50, seed: str = "42", key: str = "record_id") -> DataFrame:
+    """At most n rows of each label, null ones among them, in the order of a seeded hash."""
+    return _first_per_group(rows.withColumn("_h", draw(seed, key)), label, F.lit(n), ["_h", key], n).drop("_h")
+
+
+def split_distribution(parts: DataFrame, label: str) -> DataFrame:
+    """split, label, cnt of split rows."""
+    return parts.groupBy("split", F.col(label).alias("label")).agg(F.count("*").alias("cnt"))
+
+
 def random_rows(messages: DataFrame, n: int, seed: str, key: str = "record_id") -> DataFrame:
     return messages.orderBy(draw(seed, key), key).limit(n)
 
@@ -75,22 +85,22 @@ def stratified_split(rows: DataFrame, label: str, seed: str = "42", key: str = "
     A label's rows are ranked within slots of its hash and the slots' totals added up, so no task holds a whole label.
     """
     slot = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
-    x = rows.withColumn("_h", draw(seed, key)).withColumn("_slot", slot)
-    counts = x.groupBy(label, "_slot").agg(F.count("*").alias("_k"))
-    before = counts.select(label, "_slot", F.coalesce(F.sum("_k").over(Window.partitionBy(label).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    labels = counts.groupBy(label).agg(F.sum("_k").alias("n")).orderBy(label).collect()  # one row per label
+    x = rows.withColumn("_h", draw(seed, key)).withColumns({"_slot": slot, "_key": F.to_json(F.struct(label))})  # a null label is one like others
+    counts = x.groupBy("_key", "_slot").agg(F.count("*").alias("_k"), F.first(label).alias("_label"))
+    before = counts.select("_key", "_slot", F.coalesce(F.sum("_k").over(Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    labels = counts.groupBy("_key").agg(F.sum("_k").alias("n"), F.first("_label").alias("_label")).orderBy("_label").collect()  # one row per label
     total = sum(r["n"] for r in labels)
     _, v_all, t_all = split_sizes(total, test, val)
     sizes, done = [], 0
     for r in labels:
         a, z = done, done + r["n"]
         done = z
-        sizes.append((r[label], round(t_all * z / total) - round(t_all * a / total), round(v_all * z / total) - round(v_all * a / total)))
-    table = rows.sparkSession.createDataFrame(sizes, f"{label} {rows.schema[label].dataType.simpleString()}, _t long, _v long")
-    rank = F.row_number().over(Window.partitionBy(label, "_slot").orderBy("_h", key)) + F.col("_before")
-    x = x.join(before, [label, "_slot"]).join(F.broadcast(table), label).withColumn("_r", rank)
+        sizes.append((r["_key"], round(t_all * z / total) - round(t_all * a / total), round(v_all * z / total) - round(v_all * a / total)))
+    table = rows.sparkSession.createDataFrame(sizes, "_key string, _t long, _v long")
+    rank = F.row_number().over(Window.partitionBy("_key", "_slot").orderBy("_h", key)) + F.col("_before")
+    x = x.join(before, ["_key", "_slot"]).join(F.broadcast(table), "_key").withColumn("_r", rank)
     split = F.when(F.col("_r") <= F.col("_t"), "test").when(F.col("_r") <= F.col("_t") + F.col("_v"), "validation").otherwise("train")
-    return x.withColumn("split", split).drop("_h", "_slot", "_before", "_t", "_v", "_r")
+    return x.withColumn("split", split).drop("_h", "_slot", "_key", "_before", "_t", "_v", "_r").select(*rows.columns, "split")
 
 
 def class_weights(rows: DataFrame, label: str, taxonomy: list) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,15 @@ def phrase_hits(field_tokens: Column, phrase: list[str]) -> Column:
     """How often the phrase stands in the tokens of one field; hits may overlap."""
     k = len(phrase)
     n = F.size(field_tokens)
-    want = F.array(*(F.lit(p) for p in phrase))
-    starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(field_tokens, i, k) == want))
+    starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(starts, lambda i: reduce(lambda x, y: x & y, (F.get(field_tokens, i + j) == p for j, p in enumerate(phrase)))))
+
+
+def field_counts(c: Column, phrase: list[str]) -> Column:
+    """struct(d, f): the number of tokens of a field and of the phrase in them. The tokens are bound once, as the one element of an
+    array, so no rewriting of the plan puts the splitting of the text into the loop over its places."""
+    bound = F.transform(F.array(tokens(c)), lambda t: F.struct(F.size(t).alias("d"), phrase_hits(t, phrase).alias("f")))
+    return F.element_at(bound, 1)
 
 
 def search(messages: DataFrame, phrase: str, fields: list[str] | None = None, limit: int | None = 50, offset: int = 0, order: str = "seq") -> DataFrame:
@@ -62,12 +69,9 @@ def search(messages: DataFrame, phrase: str, fields: list[str] | None = None, li
     want = phrase_tokens(phrase)
     if not want:
         return messages.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    tokenised = messages
-    for f in fields:
-        tokenised = tokenised.withColumn(f"_t_{f}", tokens(F.col(f)))
-    size = sum((F.size(f"_t_{f}") for f in fields), F.lit(0))
-    hits = sum((phrase_hits(F.col(f"_t_{f}"), want) for f in fields), F.lit(0))
-    counted = tokenised.withColumns({"_d": size, "_f": hits}).drop(*(f"_t_{f}" for f in fields))
+    each = [field_counts(F.col(f), want) for f in fields]
+    counted = messages.withColumn("_c", F.struct(sum((c["d"] for c in each), F.lit(0)).alias("d"), sum((c["f"] for c in each), F.lit(0)).alias("f")))
+    counted = counted.select("*", F.col("_c.d").alias("_d"), F.col("_c.f").alias("_f")).drop("_c")
     n_all, mean, n_hit = counted.agg(F.count("*"), F.avg("_d"), F.count_if(F.col("_f") > 0)).first()
     if not n_hit:
         return messages.withColumn("score", F.lit(0.0)).where(F.lit(False))

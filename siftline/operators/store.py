@@ -117,3 +117,33 @@ def ranked(values: DataFrame, limit: int) -> DataFrame:
     """value, cnt of the most frequent non-empty values of (value, seq); ties by first appearance."""
     counts = values.where(or_empty(F.col("value")) != "").groupBy("value").agg(F.count("*").alias("cnt"), F.min("seq").alias("_first"))
     return counts.orderBy(F.desc("cnt"), "_first").limit(limit).drop("_first")
+
+
+def by_id(messages: DataFrame, record_id: str, key: str = "record_id") -> DataFrame:
+    """The rows of one id; the filter reaches the scan."""
+    return messages.where(F.col(key) == record_id)
+
+
+def fetch(messages: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFrame:
+    """The rows whose id is in ids."""
+    return messages.join(ids.select(key), key, "left_semi")
+
+
+def first_rows(messages: DataFrame, n: int, order: str = "seq") -> DataFrame:
+    """The first n rows in the table's order; 0 means all."""
+    return messages.orderBy(order).limit(n) if n else messages
+
+
+def long_stats(sections: dict[str, DataFrame]) -> DataFrame:
+    """section, value, cnt of a report or of log statistics as one table: rankings and months by value, totals by name."""
+    out = None
+    for name, df in sections.items():
+        if "cnt" in df.columns:
+            value = next(c for c in df.columns if c != "cnt")
+            part = df.select(F.lit(name).alias("section"), F.col(value).cast("string").alias("value"), F.col("cnt").cast("double").alias("cnt"))
+        else:
+            numbers = [c for c, t in df.dtypes if t != "string"]
+            each = F.explode(F.array(*(F.struct(F.lit(c).alias("value"), F.col(c).cast("double").alias("cnt")) for c in numbers)))
+            part = df.select(F.lit(name).alias("section"), each.alias("e")).select("section", "e.*")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -238,9 +238,9 @@ def fts_phrase_bm25(spark, sf):
     return out.select("conv_id", "turn", F.round("score", 9).alias("score"))
 
 
-@query(f"SELECT token, count(*)::BIGINT AS postings, count(DISTINCT page_id)::BIGINT AS pages FROM (SELECT page_id, unnest({_TOK.format(c='url')}) AS token FROM pages) GROUP BY token")
+@query(f"SELECT token, count(*)::BIGINT AS postings, count(DISTINCT conv_id)::BIGINT AS rows FROM (SELECT conv_id, unnest({_TOK.format(c='text')}) AS token FROM conversations) GROUP BY token")
 def inverted_index(spark, sf):
-    return search.inverted_index(table(spark, sf, "pages"), ["url"], "page_id").groupBy("token").agg(F.count("*").alias("postings"), F.countDistinct("page_id").alias("pages"))
+    return search.inverted_index(table(spark, sf, "conversations"), ["text"], "conv_id").groupBy("token").agg(F.count("*").alias("postings"), F.countDistinct("conv_id").alias("rows"))
 
 
 # Rules and propagation
@@ -250,15 +250,17 @@ def classified(spark, sf) -> DataFrame:
     return rules.classify(docs_as_messages(spark, sf), RULES, TAXONOMY)
 
 
-def _rules_sql() -> str:
+def rules_sql(held: list[rules.Rule], name: str = "rule_category", order: list[str] = ()) -> str:
+    """WITH ... r: the verdict of rules over the messages."""
     q = lambda p: p.replace("'", "''")
-    sums = ", ".join("least(" + " + ".join(f"CASE WHEN regexp_matches({f}, '{q(p)}', 'i') THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for f, p, c, w, _ in RULES if c == name) + f", 1.0::DOUBLE) AS s_{name}" for name in TAXONOMY)
-    best = "greatest(" + ", ".join(f"s_{n}" for n in TAXONOMY) + ")"
-    cat = "CASE WHEN top < 0.2 THEN '' " + " ".join(f"WHEN s_{n} = top THEN '{n}'" for n in TAXONOMY) + " END"
-    return f"{_MSG}, r0 AS (SELECT seq, record_id, ip, {sums} FROM m), r1 AS (SELECT *, {best} AS top FROM r0), r AS (SELECT seq, record_id, ip, {cat} AS rule_category, round_even(top, 3) AS rule_confidence FROM r1)"
+    names = rules.categories(held, order)
+    sums = ", ".join("least(" + " + ".join(f"CASE WHEN regexp_matches({f}, '{q(p)}', 'i') THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for f, p, c, w, _ in held if c == n) + f", 1.0::DOUBLE) AS s_{n}" for n in names)
+    best = "greatest(" + ", ".join(f"s_{n}" for n in names) + ")"
+    cat = "CASE WHEN top < 0.2 THEN '' " + " ".join(f"WHEN s_{n} = top THEN '{n}'" for n in names) + " END"
+    return f"WITH {_MSG}, r0 AS (SELECT seq, record_id, ip, {sums} FROM m), r1 AS (SELECT *, {best} AS top FROM r0), r AS (SELECT seq, record_id, ip, {cat} AS {name}, round_even(top, 3) AS rule_confidence FROM r1)"
 
 
-_R = _rules_sql()
+_R = rules_sql(RULES, order=TAXONOMY).removeprefix("WITH ")
 
 
 @query(f"WITH {_R} SELECT record_id, rule_category, rule_confidence FROM r")
@@ -448,13 +450,18 @@ def stratified_quota_sample(spark, sf):
     return sampling.quota_sample(m, {"src1": 5, "src2": 12}, "a")
 
 
-@query(f"WITH {_S.format(seed='b')}, c AS (SELECT s.*, lang FROM s JOIN documents USING (doc_id)), n AS (SELECT lang, count(*) AS k, sum(count(*)) OVER () AS t FROM c GROUP BY lang), z AS (SELECT lang, least(k, greatest(least(10, k), round_even(100 * k / t, 0)))::BIGINT AS q FROM n) SELECT sum(q)::BIGINT AS rough, (SELECT least(100, count(*)) FROM documents)::BIGINT AS drawn FROM z")
+_FREE = "list_transform(range(1, len(q) + 1), lambda m: k[m] - q[m])"
+_OVER = "list_transform(range(1, len(q) + 1), lambda m: CASE WHEN q[m] > least(10, k[m]) THEN q[m] ELSE -1 END)"
+
+
+@query(f"""WITH RECURSIVE {_S.format(seed='b')}, c AS (SELECT s.*, lang FROM s JOIN documents USING (doc_id)), n AS (SELECT lang, count(*) AS k FROM c GROUP BY lang),
+a AS (SELECT list(lang ORDER BY lang) AS l, list(k::BIGINT ORDER BY lang) AS k, list(least(k, greatest(least(10, k), round_even(100 * k / (SELECT sum(k) FROM n), 0)))::BIGINT ORDER BY lang) AS q FROM n),
+g AS (SELECT l, k, q, 0 AS i FROM a UNION ALL SELECT l, k, CASE WHEN list_sum(q) < 100 THEN list_transform(range(1, len(q) + 1), lambda j: q[j] + (j = list_position({_FREE}, list_max({_FREE})))::BIGINT) ELSE list_transform(range(1, len(q) + 1), lambda j: q[j] - (j = list_position({_OVER}, list_max({_OVER})))::BIGINT) END, i + 1 FROM g WHERE list_sum(q) <> least(100, list_sum(k)) AND i < 100),
+z AS (SELECT unnest(l) AS lang, unnest(q) AS q FROM (SELECT * FROM g ORDER BY i DESC LIMIT 1)), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id::VARCHAR) AS p FROM c)
+SELECT doc_id::VARCHAR AS record_id, r.lang AS category FROM r JOIN z ON r.lang = z.lang WHERE p <= q""")
 def proportional_sample(spark, sf):
     m = docs_as_messages(spark, sf).select("record_id", F.col("region").alias("category"))
-    counts = {r["category"]: r["n"] for r in m.groupBy("category").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    rough = sum(min(k, max(min(10, k), round(100 * k / total))) for k in counts.values())
-    return sampling.proportional_sample(m, 100, "b").agg(F.lit(rough).cast("long").alias("rough"), F.count("*").alias("drawn"))
+    return sampling.proportional_sample(m, 100, "b")
 
 
 @query("SELECT doc_id::VARCHAR AS record_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -490,9 +497,9 @@ def keyword_scheme(spark, sf):
     return table(spark, sf, "part").groupBy(taxonomy.keyword_class(F.col("p_type"), SCHEME).alias("class")).agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT CASE WHEN n_name IN ('FRANCE', 'GERMANY') THEN 'near' WHEN n_name LIKE '%IN%' THEN 'in' ELSE 'rest' END AS class, n_name AS label FROM nation")
+@query("SELECT CASE WHEN n_name IN ('NATION_3', 'NATION_4') THEN 'near' WHEN n_name LIKE '%N_1%' THEN 'in' ELSE 'rest' END AS class, n_name AS label FROM nation")
 def open_label_map(spark, sf):
-    return taxonomy.map_labels(table(spark, sf, "nation").select(F.col("n_name").alias("label")), {"far": ["FRANCE"], "near": ["GERMANY", "FRANCE"]}, [("in", ["IN"])], "rest").select("class", "label")
+    return taxonomy.map_labels(table(spark, sf, "nation").select(F.col("n_name").alias("label")), {"far": ["NATION_3"], "near": ["NATION_4", "NATION_3"]}, [("in", ["N_1"])], "rest").select("class", "label")
 
 
 _G = "list_distinct(list_concat(list_transform(range(1, length(n_name) + 1), lambda i: substr(n_name, i, 1)), list_transform(range(1, length(n_name)), lambda i: substr(n_name, i, 2))))"
@@ -526,13 +533,13 @@ def export_numeric_labels(spark, sf):
     return sinks.numeric_labels(fused(spark, sf), {"abuse": 0, "contact": 1, "junk": 2, "legal": 3})
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_name IN ('FRANCE', 'CHINA') OR n_nationkey % 4 = 0 THEN n_name ELSE '' END AS category, CASE WHEN n_nationkey % 4 = 3 THEN NULL ELSE n_nationkey / 100.0::DOUBLE END AS confidence FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT n_nationkey, CASE WHEN n_name IN ('FRANCE', 'CHINA') THEN n_name ELSE '' END, n_nationkey / 100.0::DOUBLE FROM nation WHERE n_nationkey % 4 = 0")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_name IN ('NATION_3', 'NATION_8') OR n_nationkey % 4 = 0 THEN n_name ELSE '' END AS category, CASE WHEN n_nationkey % 4 = 3 THEN NULL ELSE n_nationkey / 100.0::DOUBLE END AS confidence FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT n_nationkey, CASE WHEN n_name IN ('NATION_3', 'NATION_8') THEN n_name ELSE '' END, n_nationkey / 100.0::DOUBLE FROM nation WHERE n_nationkey % 4 = 0")
 def parse_llm_response(spark, sf):
     n = table(spark, sf, "nation")
     body = F.to_json(F.struct(F.col("n_name").alias("category"), (F.col("n_nationkey") / F.lit(100.0)).alias("confidence")))
     k = F.col("n_nationkey") % 4
     reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit(" "), body)).otherwise("no")
-    got = X.parse_label_reply(reply, ["france", "CHINA"])
+    got = X.parse_label_reply(reply, ["nation_3", "NATION_8"])
     return n.select("n_nationkey", got.alias("g")).select("n_nationkey", "g.category", "g.confidence")
 
 
@@ -584,8 +591,8 @@ def silhouette(spark, sf):
 
 @query()
 def pca_kmeans(spark, sf):
-    x = cluster.project(table(spark, sf, "embeddings"), 16)
-    return cluster.kmeans(x.select("vec_id", F.col("projected").alias("embedding")), 5, seeds=3).groupBy("cluster").agg(F.count("*").alias("cnt"))
+    x = cluster.project(table(spark, sf, "embeddings"))
+    return cluster.kmeans(x.select("vec_id", F.col("projected").alias("embedding")), 5).groupBy("cluster").agg(F.count("*").alias("cnt"))
 
 
 @query()
@@ -594,5 +601,8 @@ def lr_train_predict(spark, sf):
 
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
     parts = sampling.stratified_split(rows, "label", key="doc_id")
-    fitted = model.train(parts.where("split = 'train'").select("text", "label"), features=1 << 12, iterations=15)
+    fitted = model.train(parts.where("split = 'train'").select("text", "label"))
     return model.predictor(fitted)(parts.where("split = 'test'").select("doc_id", "label", "text")).drop("text")
+
+
+from siftline.plans import reports  # noqa: E402, F401  registers its queries

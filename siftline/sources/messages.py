@@ -68,11 +68,32 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(order.alias("rule_ord"), "field", "pattern", "category", F.coalesce("confidence", "weight", F.lit(0.5)).alias("confidence"), or_empty(F.col("reason")).alias("reason"))
 
 
+def _looks_like_json(spark: SparkSession, path: str) -> bool:
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).select(F.get_json_object("value", "$").isNotNull() & F.ltrim("value").startswith("{")).collect()
+    return bool(first and first[0][0])
+
+
+def read_rows(spark: SparkSession, path: str, schema: str, limit: int = 0) -> DataFrame:
+    """Rows of a JSON lines file with seq, the order of the file; blank lines are skipped, and a limit keeps the first rows (0: all)."""
+    rows = spark.read.schema(schema).json(path).withColumn("seq", file_order())
+    return rows.orderBy("seq").limit(limit) if limit else rows
+
+
+def default_rules(spark: SparkSession | None = None) -> list[tuple]:
+    """The rules that come with the package (siftline/rules/default.json): (field, pattern, category, confidence, reason)."""
+    import json
+    from importlib.resources import files
+
+    held = json.loads((files("siftline") / "rules" / "default.json").read_text())
+    return [(r["field"], r["pattern"], r["category"], r["confidence"], r["reason"]) for r in held]
+
+
 def read_labels(spark: SparkSession, path: str, key: str = "spam_type", id_col: str = "record_id") -> DataFrame:
-    """record_id, label of a label file, by suffix: .csv with a header, anything else JSON lines; the last of repeated ids counts."""
+    """record_id, label of a label file: .csv with a header, .json or .jsonl with JSON lines, and under any other name JSON lines if
+    its first line that is not blank is a JSON object, else CSV; the last of repeated ids counts."""
     from siftline.functions.text import normal_label
 
-    if path.endswith(".csv"):
+    if path.endswith(".csv") or not path.endswith((".jsonl", ".json")) and not _looks_like_json(spark, path):
         raw = spark.read.option("header", True).csv(path)
     else:
         raw = spark.read.schema(f"`{id_col}` string, `{key}` string").json(path)
@@ -108,3 +129,22 @@ def sql_query(spark: SparkSession, text: str, tables: dict[str, DataFrame], **pa
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text, args=params)
+
+
+def open_label_groups(labels: DataFrame, examples: int = 15) -> DataFrame:
+    """label, cnt, first_ids of open labels, most frequent first: how many rows have a label, and the first few of them by seq.
+
+    Of a label's rows each task keeps the first `examples`, so no list grows with the data."""
+    rows = labels.where("coalesce(llm_category, '') <> ''").select(F.col("llm_category").alias("label"), "record_id", "seq")
+    top = Window.partitionBy("label").orderBy("seq")
+    first = rows.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= examples)
+    ids = first.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "record_id"))), lambda x: x["record_id"]).alias("first_ids"))
+    return rows.groupBy("label").agg(F.count("*").alias("cnt")).join(ids, "label").orderBy(F.desc("cnt"), "label")
+
+
+def read_split_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
+    """rows (with split), label map and class weights that sinks.write_split_dataset() wrote."""
+    rows = spark.read.parquet(f"{path}/rows")
+    labels = {r["label"]: r["id"] for r in spark.read.schema("label string, id int").json(f"{path}/label_map").collect()}
+    weights = {r["label"]: r["weight"] for r in spark.read.schema("label string, weight double").json(f"{path}/class_weights").collect()}
+    return rows, labels, weights

@@ -25,6 +25,11 @@ def label_updates(messages: DataFrame, updates: DataFrame) -> DataFrame:
     return messages.join(last, "record_id", "left").withColumn("category", F.coalesce("_new", "category")).drop("_new").select(*messages.columns)
 
 
+def matched_rows(messages: DataFrame, updates: DataFrame) -> DataFrame:
+    """One row: how many rows of messages an update reaches; unknown ids add nothing."""
+    return messages.join(updates.select("record_id").distinct(), "record_id", "left_semi").agg(F.count("*").alias("matched"))
+
+
 def numeric_labels(results: DataFrame, ids: dict[str, int]) -> DataFrame:
     """record_id, spam_type: the taxonomy's number of each category, UNKNOWN_LABEL for an empty or unknown one."""
     pairs = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))
@@ -56,3 +61,59 @@ def write_strategies(long: DataFrame, path: str) -> None:
 
 def holdout(messages: DataFrame, used: DataFrame) -> DataFrame:
     return messages.join(used.select("record_id"), "record_id", "left_anti")
+
+
+def create_table(spark, name: str, path: str | None = None) -> None:
+    """The message table in the session's catalog, if it is not there yet; its indexes are derived tables (search.inverted_index)."""
+    from siftline.sources.messages import INT_FIELDS, TEXT_FIELDS
+
+    columns = ["record_id STRING", *(f"{c} STRING" for c in TEXT_FIELDS.values()), "timestamp STRING", *(f"{c} BIGINT" for c in INT_FIELDS.values()), "category STRING", "raw_json STRING", "seq BIGINT"]
+    where = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(columns)}) USING parquet{where}")
+
+
+def export_histogram(labels: DataFrame, most: int = 4) -> DataFrame:
+    """spam_type, cnt of exported numbers from 0 to `most`."""
+    return labels.where(F.col("spam_type").between(0, most)).groupBy("spam_type").agg(F.count("*").alias("cnt"))
+
+
+def report_json(sections: dict[str, DataFrame]) -> DataFrame:
+    """A report of one-row sections as one row, json: an object with a member for each section."""
+    out = None
+    for name, df in sections.items():
+        one = df.select(F.struct(*df.columns).alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
+    return out.select(F.to_json(F.struct(*sections), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def labelled_name(path: str) -> str:
+    """Where labelled rows of a file go: <stem>_labeled<suffix>."""
+    stem, dot, suffix = path.rpartition(".")
+    return f"{stem}_labeled.{suffix}" if dot and "/" not in suffix else f"{path}_labeled"
+
+
+def write_labelled(rows: DataFrame, source: str, out: str | None = None) -> str:
+    out = out or labelled_name(source)
+    write_jsonl(rows, out)
+    return out
+
+
+def sample_rows(sample: DataFrame, messages: DataFrame, chars: int = 500) -> DataFrame:
+    """The sampled ids with what annotators need, the content cut to its first characters; of repeated ids in messages the last by
+    seq counts, an id that is not there is left out."""
+    fields = ["from_name", "subject", "content"]
+    last = messages.groupBy("record_id").agg(F.max_by(F.struct(*fields), "seq").alias("_m"))
+    cut = F.substring(or_empty(F.col("_m.content")), 1, chars)
+    return sample.join(last, "record_id").select(*sample.columns, *(or_empty(F.col(f"_m.{f}")).alias(f) for f in fields[:2]), cut.alias("content"))
+
+
+def write_split_dataset(rows: DataFrame, path: str, taxonomy: list[str], label: str = "label", **kwargs) -> None:
+    """rows (record_id, text, label) split into train, validation and test, with the label map and class weights of the training
+    rows, under one folder; see sampling.stratified_split()."""
+    from siftline.operators import sampling
+
+    spark = rows.sparkSession
+    sampling.stratified_split(rows, label, **kwargs).write.partitionBy("split").parquet(f"{path}/rows")
+    spark.createDataFrame(list(enumerate(taxonomy)), "id int, label string").coalesce(1).write.json(f"{path}/label_map")
+    train = spark.read.parquet(f"{path}/rows").where("split = 'train'")
+    sampling.class_weights(train.select(F.col(label).alias("label")), "label", taxonomy).select("label", "weight").coalesce(1).write.json(f"{path}/class_weights")
