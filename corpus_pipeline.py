@@ -9,14 +9,27 @@ from siftline.llm import byte_cnn, line_runs, mixing, order_minhash, tiling
 from siftline.llm.common import new_path, read_table, remove
 
 
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with its further columns in one struct, so that no name of theirs clashes with what an operator adds."""
+    more = [c for c in docs.columns if c not in DOCUMENT]
+    return docs.select(*(c for c in docs.columns if c in DOCUMENT), F.struct(*more).alias("_further")) if more else docs
+
+
+def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*(F.col(c) if c in DOCUMENT else F.col("_further")[c].alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones among docs.
 
     A null or empty text is judged as padding, rows that repeat a doc_id one by one, equal texts alike; without labels of both
-    classes the model is constant and keeps all or none. No rows give none, further columns stay, score and predicted as well.
+    classes the model is constant and keeps all or none. No rows give none, further columns stay.
     """
     model = byte_cnn.fit(docs, read_table(spark, sf_dir, "labels"))
-    return byte_cnn.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return _restored(byte_cnn.score_quality(_packed(docs), model).where("predicted = 1"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text becomes an empty one, rows that repeat a doc_id count as documents of their own, rows without one count and keep
     their lines; of several rows that tie on the largest doc_id of a line, each keeps it. No rows give none, further columns stay.
     """
-    return line_runs.drop_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return _restored(line_runs.drop_repeated_lines(_packed(docs)).withColumn("n_chars", F.char_length("text").cast("long")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null, empty and blank texts are classes of their own, of rows that repeat a doc_id one stays, rows without a doc_id stay, as
     whole texts of any length are compared. No rows give none, further columns stay.
     """
-    return order_minhash.keep_one(docs).select(*docs.columns)
+    return _restored(order_minhash.keep_one(_packed(docs)), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts are clean, null items match nothing, rows that repeat a doc_id are judged one by one, and equal texts
     alike; an empty benchmark leaves all documents. No rows give none, further columns stay.
     """
-    return tiling.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return _restored(tiling.decontaminate(_packed(docs), read_table(spark, sf_dir, "benchmark")), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
