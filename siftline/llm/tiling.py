@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.llm.common import join_salted, map_arrow, stash
+from siftline.llm.common import drop_stash, join_salted, map_arrow, stash
 
 #: Shortest tile in words; share of an item's words that tiles must cover to call a document contaminated.
 LEAST, THRESHOLD = 5, 0.5
@@ -180,7 +180,9 @@ def bench_seeds(items: DataFrame, threshold: float) -> DataFrame:
     counted = join_salted(each, each.groupBy("_seed").agg(F.count("*").alias("n")), "_seed")
     of_item = counted.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("_at", "_seed", "n"))).alias("_rows"))
     sized = items.select("_item", "_k", (F.octet_length("_words") / 8).cast("int").alias("_size")).join(of_item, "_item")
-    return stash(map_arrow(sized.select("_item", "_k", "_size", "_rows"), choose, "_seed long, _item long"), "bench-seeds")
+    out = stash(map_arrow(sized.select("_item", "_k", "_size", "_rows"), choose, "_seed long, _item long"), "bench-seeds")
+    drop_stash(each)
+    return out
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
@@ -275,6 +277,7 @@ def score_contamination(docs: DataFrame, bench: DataFrame, threshold: float = TH
     found = map_arrow(some.select("_row", "text").join(lists, "_row").select("_row", "text", "_items"), tiles, "_row long, coverage double, item_id long, n long")
     best = F.min(F.struct((-F.col("coverage")).alias("c"), F.col("item_id").isNull().alias("z"), "item_id")).alias("b")
     judged = stash(found.groupBy("_row").agg(best, F.sum("n").alias("n_items")).select("_row", "b.item_id", (-F.col("b.c")).alias("coverage"), "n_items"), "tile-scores")
+    drop_stash(hits, pairs, seeds, items)
     rest = some.drop("_seeds").join(judged, "_row", "left").drop("_row")
     rest = rest.select(*own.columns, "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"))
     return clean.unionByName(rest).withColumn("contaminated", F.col("n_items") > 0)
