@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import map_arrow, stash
+from siftline.llm.common import drop_stash, map_arrow, stash
 from siftline.llm.lengths import TOKENIZERS
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -343,6 +343,7 @@ def score_texts(docs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULAR
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(c, pa.int64()), pa.array(t, pa.int64()), pa.array(word_scores(word, model.value, vocab) / ln10)], names=["word", "c", "t", "lp"])
 
     scored = stash(map_arrow(words, marginal, "word binary, c long, t long, lp double"), "lm-scored")
+    drop_stash(words)
     top = scored.where(F.octet_length("word") <= TOGETHER).orderBy(F.desc("t"), "word").limit(FREQUENT).drop("t").toArrow()
     frequent = spark.sparkContext.broadcast((top["word"].to_pylist(), top["c"].to_numpy(), top["lp"].to_numpy()))
     start = np.array([1, int(ends > 0), math.log10(ends + 1) - less, pieces[-1] / ln10])
