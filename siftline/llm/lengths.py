@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import prefix_sums, stash
+from siftline.llm.common import map_arrow, prefix_sums, stash
 
 #: Where the public vocabulary files are.
 TOKENIZERS = os.environ.get("SIFTLINE_TOKENIZERS", "/opt/tokenizers")
@@ -30,7 +30,9 @@ def encoder(folder: str = TOKENIZERS, ranks: str = RANKS):
 
 
 def with_lengths(docs: DataFrame, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens of every whole text; a null or empty text has 0 tokens, marks of special tokens are ordinary text."""
+    """doc_id, n_tokens of every whole text; a null or empty text has 0 tokens, marks of special tokens are ordinary text.
+
+    Rows that repeat a doc_id are counted one by one, no rows give none; no other column is looked at, whatever its name."""
 
     def count(batches):
         enc = encoder(folder, ranks)
@@ -38,7 +40,7 @@ def with_lengths(docs: DataFrame, folder: str = TOKENIZERS, ranks: str = RANKS)
             n = [0 if x is None else len(enc.encode_to_numpy(x, disallowed_special=())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_tokens long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), count, "doc_id long, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -86,5 +88,8 @@ def length_at_quantile(table: DataFrame, q: float) -> DataFrame:
 
 
 def length_report(docs: DataFrame, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
-    """The suffix table of a corpus; the histogram, a few bytes per distinct length, is written once and reread."""
+    """The suffix table of a corpus; the histogram, a few bytes per distinct length, is written once and reread.
+
+    Null and empty texts have length 0, rows that repeat a doc_id count each, and no rows give no table; further columns of docs,
+    such as one named n_tokens, are ignored."""
     return suffix_table(stash(histogram(with_lengths(docs, folder, ranks)), "lengths"))

@@ -9,47 +9,57 @@ from siftline.llm.common import read_table
 
 
 def op1_source_mixing(spark, sf_dir):
+    """The mixture of all documents: each source at most twice, every document at least once."""
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark, sf_dir):
+    """The suffix table of the encoded lengths of all whole texts."""
     return lengths.length_report(read_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_classifier(spark, sf_dir):
+    """The score of every whole text, from labels outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     scored = byte_cnn.score_quality(docs, byte_cnn.fit(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(byte_cnn.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_html_extraction(spark, sf_dir):
+    """The main text of every page."""
     return page_text.extract_text(read_table(spark, sf_dir, "pages"))
 
 
 def op5_lm_scoring(spark, sf_dir):
+    """The lattice score of every whole text, and its unigram base."""
     return lattice_lm.score_texts(read_table(spark, sf_dir, "documents"))
 
 
 def op6_near_duplicates(spark, sf_dir):
+    """The class of near duplicates of every document."""
     return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark, sf_dir):
+    """Counts of every text, the base rule, and the verdict of its group's thresholds."""
     out = adaptive_rules.apply_rules(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "n_lines", "n_caps")
 
 
 def op8_line_dedup(spark, sf_dir):
+    """Every document without its repeated lines, as a digest."""
     out = line_runs.drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op9_warc(spark, sf_dir):
+    """Every record of the WARC files that are written of all pages, as read back from them."""
     pages = read_table(spark, sf_dir, "pages")
     return warc_store.read_archive(spark, warc_store.write_archive(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_decontamination(spark, sf_dir):
+    """The benchmark coverage of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = tiling.score_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     return scored.select("doc_id", "contaminated", "item_id", "coverage", "n_items")

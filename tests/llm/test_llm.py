@@ -86,6 +86,27 @@ def test_mixing_entropy(spark):
     assert sum(w) == pytest.approx(1) and -sum(x * math.log(x) for x in w) == pytest.approx(0.8, abs=1e-4) and abs(sum(r.quota for r in got) - 1000) < 4
 
 
+def test_mixing_budget(spark):
+    """A budget realised: sources meet their weights to within one document, in blocks that hold them in these weights."""
+    rnd = random.Random(18)
+    data = [(i, " ".join(["w"] * rnd.randrange(5, 15)), "big" if i % 10 else "small") for i in range(2000)]
+    out = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), max_epochs=3.0, budget=8000, block_tokens=1000).collect()
+    drawn = Counter()
+    blocks = {}
+    for r in out:
+        drawn[r.source] += r.n_tokens
+        blocks.setdefault(r.block, Counter())[r.source] += r.n_tokens
+    total = Counter()
+    for _, t, s in data:
+        total[s] += len(t.split())
+    p = {s: t / sum(total.values()) for s, t in total.items()}
+    alpha = 1 - math.log(3) / math.log(p["big"] / p["small"])
+    weight = {s: x**alpha / sum(y**alpha for y in p.values()) for s, x in p.items()}
+    assert all(8000 * weight[s] - 1 <= drawn[s] < 8000 * weight[s] + 15 for s in p) and len(blocks) == 8
+    assert all(abs(b["small"] / sum(b.values()) - weight["small"]) < 0.04 for b in blocks.values())
+    assert max(r.epoch for r in out if r.source == "small") >= 0 and {r.epoch for r in out if r.source == "big"} == {0}
+
+
 def test_prefix_sums(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"), (F.col("id") * 7 % 11).alias("v"), F.floor(F.col("id") / 9).alias("_slot"))
     got = prefix_sums(df, ["g"], [F.col("o")], {"before": "v"}, 9).collect()
