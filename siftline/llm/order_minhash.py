@@ -20,6 +20,10 @@ K, TAKE, SKETCHES, SIMILARITY = 5, 2, 80, 0.8
 HELD = 1 << 20
 #: Bits for each word of a text that stand for its words; members of a bucket that a task compares with as many others at once.
 BITS_EACH, BLOCK = 8, 1024
+#: Rivals of each member of a block that are verified before the others, which need not be where these have joined their classes.
+NEAREST = 2
+#: Most nodes that are broadcast, so that the texts of others are not moved.
+FEW = 50_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -182,14 +186,20 @@ def text_codes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """node, codes of the texts of all nodes in pairs (a, b: node ids); no other texts are moved."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes.hint("shuffle_hash"), "node", "left_semi")
-    return stash(map_arrow(texts, _codes, "node long, codes binary"), "near-codes")
+    return stash(map_arrow(texts, _codes, "node long, codes binary").distinct(), "near-codes")
+
+
+def rows_of(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of table for nodes (node), if these are FEW at most, without moving the others; else the whole table."""
+    nodes = nodes.distinct()
+    return table.join(F.broadcast(nodes), "node", "left_semi") if nodes.limit(FEW + 1).count() <= FEW else table
 
 
 def verify(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """The pairs (a, b: node ids, repeated by no other row; a stash) whose texts are similar; codes from text_codes().
 
     b may be the leader of any number of pairs, which are dealt over salts."""
-    codes = codes.distinct()
+    codes = rows_of(codes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     one = join_salted(pairs, codes.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
     two = one.join(codes.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a")
     return map_arrow(two.select("a", "b", "x", "y"), _verified, "a long, b long").distinct()
@@ -214,16 +224,42 @@ def folded(bits: np.ndarray) -> np.ndarray:
     return bits[:, :half] | bits[:, half:]
 
 
-def _bits(batches):
+def word_marks(codes: np.ndarray) -> np.ndarray:
+    """16 bits of the hash of each word, a repeated word one for each time, each value once. Two texts of edit distance d have at
+    most d values that the other one lacks; fewer words share a value by chance than share a bit of word_bits()."""
+    h = codes.astype(np.uint64)
+    return np.unique((_mixed(h + occurrences(h).astype(np.uint64) * _PRIME) >> np.uint64(32)).astype(np.uint16)) if len(h) else np.empty(0, np.uint16)
+
+
+def _facts(batches):
     for b in batches:
         codes = [np.frombuffer(x.as_py(), np.uint32) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in codes], pa.int64()), pa.array([word_bits(c).tobytes() for c in codes], pa.binary())], names=["node", "words", "bits"])
+        bits, marks = (pa.array([f(c).tobytes() for c in codes], pa.binary()) for f in (word_bits, word_marks))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in codes], pa.int64()), bits, marks], names=["node", "words", "bits", "marks"])
 
 
-def _near_rows(own: np.ndarray, bits: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Which rows of bits lack at most `most` of own's bits, and own of theirs."""
+def _apart_rows(own: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many of own's bits each row of bits lacks, or own of theirs if these are more."""
     lost, more = np.bitwise_count(own & ~bits).sum(axis=1), np.bitwise_count(bits & ~own).sum(axis=1)
-    return np.maximum(lost, more) <= most
+    return np.maximum(lost, more)
+
+
+def _apart_marks(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The same of marks, of which each text has one at least."""
+    has = np.zeros(1 << 16, bool)
+    has[own] = True
+    sizes = np.array([len(x) for x in others])
+    both = np.add.reduceat(has[np.concatenate(others)], np.cumsum(sizes) - sizes, dtype=np.int64)
+    return np.maximum(len(own), sizes) - both
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, gap: np.ndarray, nearest: int) -> np.ndarray:
+    """Places of the pairs (i, j) that are among the `nearest` of least gap of one of their two ends."""
+    ends, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((pair, np.tile(gap, 2), ends))
+    ranked = ends[order]
+    rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+    return np.unique(pair[order[rank < nearest]])
 
 
 def _short_keys(batches):
@@ -231,10 +267,13 @@ def _short_keys(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(k, np.int64).astype(np.uint32).tobytes() for k in b.column(1).to_pylist()], pa.binary())], names=["node", "short"])
 
 
-def _rivals(group: pa.Table) -> pa.Table:
-    """Pairs of members of different classes (of different sides, if there are two) that lengths and word_bits() let be similar.
+def _rivals(group: pa.Table, nearest: int | None = None) -> pa.Table:
+    """Pairs of members of different classes (of different sides, if there are two) that lengths, word_bits() and word_marks(), where
+    the group has these, let be similar.
 
     Members that share several buckets meet in that of their first common sketch alone; `short` has 32 bits of each of their keys.
+    With `nearest`, only the pairs that are likeliest similar for one of their members, so many for each; rows without b name the
+    members a of the others.
     """
     words = group.column("words").to_numpy()
     order = np.argsort(words, kind="stable")
@@ -246,7 +285,8 @@ def _rivals(group: pa.Table) -> pa.Table:
     most = ((1 - SIMILARITY) * words + 1e-9).astype(np.int64)
     ends = np.searchsorted(words - most, words, side="right")
     split = (side != side[0]).any()
-    a, b = [], []
+    marks = [np.frombuffer(x, np.uint16) for x in group.column("marks").take(pa.array(order)).to_pylist()] if "marks" in group.column_names else None
+    one, two, gap = ([np.empty(0, np.int64)] for _ in range(3))
     # Members of one size of bits stand together; a similar text is of the same size or the next one.
     sizes = np.array([len(x) for x in listed])
     starts = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1])).tolist() + [len(words)]
@@ -263,58 +303,114 @@ def _rivals(group: pa.Table) -> pa.Table:
                     good &= side[from_:to] != side[i]
                 at = np.flatnonzero(good) + from_
                 at = at[(short[at] == short[i]).argmax(axis=1) == here]
-                at = at[_near_rows(tables[t][i - x], table[at - base], most[at])]
-                a.append(np.maximum(node[at], node[i]))
-                b.append(np.minimum(node[at], node[i]))
-    none = np.empty(0, np.int64)
-    return pa.table([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
+                apart = _apart_rows(tables[t][i - x], table[at - base])
+                at, apart = at[apart <= most[at]], apart[apart <= most[at]]
+                if marks and len(at):
+                    apart = _apart_marks(marks[i], [marks[k] for k in at])
+                    at, apart = at[apart <= most[at]], apart[apart <= most[at]]
+                one.append(np.full(len(at), i))
+                two.append(at)
+                gap.append(apart.astype(np.int64) - most[at])
+    one, two, gap = map(np.concatenate, (one, two, gap))
+    kept = _nearest(one, two, gap, nearest) if nearest else np.arange(len(one))
+    x, y = node[one[kept]], node[two[kept]]
+    a, b = np.maximum(x, y).tolist(), np.minimum(x, y).tolist()
+    held_back = np.setdiff1d(np.arange(len(one)), kept)
+    open_ = node[np.unique(np.concatenate([one[held_back], two[held_back]]))].tolist()
+    keys = [group.column("key")[0].as_py()] * (len(a) + len(open_))
+    return pa.table([pa.array(a + open_, pa.int64()), pa.array(b + [None] * len(open_), pa.int64()), pa.array(keys, pa.int64())], names=["a", "b", "key"])
+
+
+def dealt(held: DataFrame) -> DataFrame:
+    """held (key, node, root; _n, _most, _big: members of the bucket, of its largest class, that class) with side, _low, _high: one row
+    for each cell that a member is in.
+
+    Members are dealt into blocks of about BLOCK by a hash of the node, and every two blocks that have something to compare meet in a
+    cell of their own, so no task holds a whole bucket. The members of a bucket's largest class need not meet each other: they are
+    dealt into blocks of their own where this makes fewer rows.
+    """
+    rest, big, whole = (F.ceil(n / BLOCK).cast("int") for n in (F.col("_n") - F.col("_most"), F.col("_most"), F.col("_n")))
+    own_blocks = F.col("_most") * rest + (F.col("_n") - F.col("_most")) * (rest + big) < F.col("_n") * whole
+    in_big, by = F.col("root") == F.col("_big"), F.xxhash64("node")
+    side = F.when(~own_blocks, F.pmod(by, whole)).when(in_big, rest + F.pmod(by, big)).otherwise(F.pmod(by, rest)).cast("int")
+    others = F.when(~own_blocks, whole).when(in_big, rest).otherwise(rest + big)
+    cells = held.withColumn("side", side).withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return cells.withColumn("_low", F.least("side", "_other")).withColumn("_high", F.greatest("side", "_other"))
 
 
-def rivals(members: DataFrame, roots: DataFrame, codes: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b), each once, of members (key, node) of one bucket that are in different classes and may be similar.
+def rivals(members: DataFrame, roots: DataFrame, codes: DataFrame, reps: DataFrame, nearest: int | None = None) -> DataFrame:
+    """Pairs (a, b), each once, of members (key, node) of one bucket that are in different classes and may be similar, and the key.
 
-    The members of a bucket's largest class never meet each other. They and the others are dealt into blocks of about BLOCK members
-    by a hash of the node, and every two blocks that have something to compare meet in a group of their own, so no task holds a
-    whole bucket, and what comes out are the pairs that pass the bounds, not all pairs of the bucket.
+    With `nearest`, those that are among so many likeliest ones of either member in a block, and rows (node, null, key) of the
+    members that have more.
+
+    What comes out are the pairs that pass the bounds, not all pairs of the bucket. Members that share several buckets meet in one.
     """
     classes = stash(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-members")
     of_class = classes.groupBy("key", "root").agg(F.count("*").alias("_c"))
     sizes = of_class.groupBy("key").agg(F.sum("_c").alias("_n"), F.max("_c").alias("_most"), F.max_by("root", "_c").alias("_big")).where("_most < _n")
     held = join_hot(classes, stash(sizes, "near-mixed", codec="uncompressed"), "key", "_n", how="inner")
-    facts = map_arrow(codes, _bits, "node long, words long, bits binary").distinct().join(map_arrow(reps.select("node", "keys"), _short_keys, "node long, short binary"), "node")
+    facts = map_arrow(codes, _facts, "node long, words long, bits binary, marks binary").distinct().join(map_arrow(reps.select("node", "keys"), _short_keys, "node long, short binary"), "node")
     held = held.join(facts, "node")
-    rest, big = (F.ceil(n / BLOCK).cast("int") for n in (F.col("_n") - F.col("_most"), F.col("_most")))
-    in_big, dealt = F.col("root") == F.col("_big"), F.xxhash64("node")
-    own = F.when(in_big, rest + F.pmod(dealt, big)).otherwise(F.pmod(dealt, rest)).cast("int")
-    others = F.sequence(F.lit(0), F.when(in_big, rest).otherwise(rest + big) - 1)
-    cells = held.withColumn("side", own).withColumn("_other", F.explode(others))
-    cells = cells.select("key", F.least("side", "_other").alias("_low"), F.greatest("side", "_other").alias("_high"), "side", "node", "root", "words", "bits", "short")
-    return cells.groupBy("key", "_low", "_high").applyInArrow(_rivals, "a long, b long")
+    cells = dealt(held).select("key", "_low", "_high", "side", "node", "root", "words", "bits", "marks", "short")
+    return cells.groupBy("key", "_low", "_high").applyInArrow(lambda group: _rivals(group, nearest), "a long, b long, key long")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, of_a: its class, b; a stash) of different classes, as a stash of a and b; b may be in any number of them."""
+    of_b = pairs.groupBy("b").agg(F.count("*").alias("_n")).join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b", "left")
+    named = join_hot(pairs, stash(of_b, "near-mixed", codec="uncompressed"), "b", "_n", how="inner")
+    return stash(named.where(F.col("of_a") != F.coalesce("of_b", "b")).select("a", "b"), "near-pairs")
+
+
+def joined(roots: DataFrame | None, pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """roots (node, root) after the similar ones of pairs are linked too; the classes of before stand for their links."""
+    good = stash(verify(pairs, codes), "near-links")
+    if roots is None:
+        out = components(good)
+    elif good.isEmpty():
+        out = roots
+    else:
+        out = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good))
+    drop_stash(good)
+    return out
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """node, root of the linked ones among reps (node, keys), which have different texts; see components().
 
-    In each bucket the smallest node leads, and every other member is verified against it. Then the leader is taken out, and where
-    the others are still of several classes, every two of different classes are verified too, unless bounds of their edit distance
-    rule them out or they have been compared. So any two members of a bucket are in one class in the end, or are known not to be
-    similar. What is missed are pairs that no sketch brings together: next to none at a similarity of 0.85 or more, about one in
-    fourteen just at 0.8, and pairs of texts of so few words that they share fewer than two runs of K words.
+    In each bucket the smallest node leads, and every other member is verified against it: each node first against the leader it
+    shares most buckets with, then against those leaders that are not of its class after this. Then the leader is taken out, and
+    where the others are still of several classes, every two of different classes are verified too, unless bounds of their edit
+    distance rule them out or they have been compared: first the NEAREST of each member of a block, then all others that are still of
+    different classes, so members that the first ones join are not compared pair by pair. So any two members of a bucket are in one
+    class in the end, or are known not to be similar. What is missed are pairs that no sketch brings together: next to none at a
+    similarity of 0.85 or more, about one in fourteen just at 0.8, and pairs of texts of so few words that they share fewer than two
+    runs of K words.
     """
     buckets = reps.select("node", F.explode("keys").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("_n"), F.min("node").alias("leader")).where("_n > 1")
     sizes = stash(sizes, "near-sizes", codec="uncompressed")
     shared = join_hot(buckets, sizes, "key", "_n", how="inner")
     members = stash(shared.where("node <> leader").select("key", "node", "leader"), "near-buckets")
-    pairs = stash(members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
+    shares = members.groupBy("node", "leader").agg(F.count("*").alias("_n")).groupBy(F.col("node").alias("a"))
+    met = stash(shares.agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("_n"), "leader")))["leader"].alias("leaders")), "near-leaders")
+    pairs = met.select("a", F.explode("leaders").alias("b"))
     codes = text_codes(pairs, docs)
-    found = stash(verify(pairs, codes), "near-links")
-    roots = components(found)
-    more = stash(rivals(members.select("key", "node"), roots, codes, reps).join(pairs, ["a", "b"], "left_anti"), "near-rivals")
-    good = stash(verify(more, codes), "near-links")
-    out = roots if good.isEmpty() else components(found.unionByName(good))  # written, so what it came from can go
-    drop_stash(sizes, members, pairs, codes, found, more, good)
-    return out
+    roots = joined(None, stash(met.select("a", F.col("leaders")[0].alias("b")), "near-pairs"), codes)
+    named = met.join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
+    others = stash(named.select("a", F.coalesce("root", "a").alias("of_a"), F.explode(F.slice("leaders", 2, F.size("leaders"))).alias("b")), "near-others")
+    roots = joined(roots, apart(others, roots), codes)
+    near = stash(rivals(members.select("key", "node"), roots, codes, reps, NEAREST), "near-rivals")
+    first = stash(near.where("b IS NOT NULL").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    roots = joined(roots, first, codes)
+    more = stash(near.where("b IS NULL").select("key", F.col("a").alias("node")).distinct(), "near-buckets")
+    if not more.isEmpty():
+        own = more.select("node")
+        rest = rivals(more, roots, rows_of(codes, own), rows_of(reps, own)).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+        roots = joined(roots, stash(rest.join(first, ["a", "b"], "left_anti"), "near-pairs"), codes)
+    drop_stash(sizes, members, met, others, codes, near, first, more)
+    return roots  # written, so what it came from can go
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -614,6 +614,89 @@ def test_rivals_lose_no_similar_pair():
         assert len(want) > 20 and want <= got
 
 
+@pytest.mark.parametrize(("nearest", "block"), [(2, 1024), (1, 8)])
+def test_rivals_of_one_class_are_not_compared_pair_by_pair(spark, monkeypatch, nearest, block):
+    """Texts that all are similar, in buckets that strangers lead, and some that may be: what is verified grows with their number."""
+    monkeypatch.setattr(order_minhash, "NEAREST", nearest)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    seen = []
+    verify = order_minhash.verify
+    monkeypatch.setattr(order_minhash, "verify", lambda pairs, codes: seen.append(pairs.count()) or verify(pairs, codes))
+    rnd = random.Random(26)
+    words = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    passage = words(80)
+    data = [(i, " ".join(passage + words(40 if i < 2 else 19 if i < 72 else 23))) for i in range(74)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: 2 if 2 <= i < 72 else i for i, _ in data}
+    if block > len(data):
+        assert 74 < sum(seen) < 74 * 10 < 72 * 71 // 2
+    else:
+        assert sum(seen) < 72 * 71 // 2
+
+
+@pytest.mark.parametrize("nearest", [1, 2])
+def test_near_copies_at_the_threshold(spark, monkeypatch, nearest):
+    """A bucket of texts whose distances lie on either side of the threshold: the classes are those of all similar pairs."""
+    monkeypatch.setattr(order_minhash, "NEAREST", nearest)
+    monkeypatch.setattr(order_minhash, "BLOCK", 16)
+    rnd = random.Random(27)
+    passage = [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(80)]
+    small = [rnd.choice(WORDS) for _ in range(30)]
+    data = [(i, " ".join(passage + [rnd.choice(small) for _ in range(60 if i == 0 else rnd.randrange(20, 34))])) for i in range(50)]
+    tokens = {i: t.split() for i, t in data}
+    root = {i: i for i in tokens}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in tokens:
+        for j in range(i):
+            if plain_distance(tokens[i], tokens[j]) <= 0.2 * max(len(tokens[i]), len(tokens[j])):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert 5 < len({find(i) for i in tokens}) < 45
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in tokens}
+
+
+def test_word_marks_bound():
+    rnd = random.Random(28)
+    for _ in range(600):
+        a = [rnd.randrange(rnd.choice([4, 500])) for _ in range(rnd.randrange(1, 60))]
+        b = list(a)
+        for _ in range(rnd.randrange(12)):
+            b.insert(rnd.randrange(len(b) + 1), rnd.randrange(500))
+            if rnd.random() < 0.7:
+                del b[rnd.randrange(len(b))]
+        x, y = (order_minhash.word_marks(np.array(c, np.uint32)) for c in (a, b))
+        apart = order_minhash._apart_marks(x, [y, x]).tolist()
+        assert apart == [max(len(set(x) - set(y)), len(set(y) - set(x))), 0] and apart[0] <= plain_distance(a, b)
+
+
+def test_nearest_rivals():
+    i, j = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 2, 3, 2, 3, 3])
+    assert order_minhash._nearest(i, j, np.array([-5, -4, -3, -2, -1, 0]), 1).tolist() == [0, 1, 2]
+    assert order_minhash._nearest(i, j, np.array([-5, -4, -3, -2, -1, 0]), 3).tolist() == list(range(6))
+
+
+@pytest.mark.parametrize(("n", "most", "rows_"), [(40, 30, 40), (100, 90, None), (300, 20, None)])
+def test_cells_of_a_bucket(spark, monkeypatch, n, most, rows_):
+    """Every two members of different classes meet in a cell, on different sides if it has two; a small bucket is one cell."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 64)
+    root = {i: 0 if i < most else i for i in range(n)}
+    held = spark.createDataFrame([(1, i, r, n, most, 0) for i, r in root.items()], "key long, node long, root long, _n long, _most long, _big long")
+    cells = defaultdict(dict)
+    for r in order_minhash.dealt(held).collect():
+        cells[r._low, r._high][r.node] = r.side
+    assert sum(map(len, cells.values())) == (rows_ or sum(map(len, cells.values()))) <= n * -(-n // 64)
+    met = Counter()
+    for (low, high), own in cells.items():
+        met.update((i, j) for i in own for j in own if j < i and root[i] != root[j] and (low == high or own[i] != own[j]))
+    assert met == {(i, j): 1 for i in root for j in range(i) if root[i] != root[j]}
+
+
 def test_keep_one(spark, docs):
     data, families = near_rows()
     d = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, extra string")
