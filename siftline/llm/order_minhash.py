@@ -161,12 +161,14 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 def _sketches(batches):
     for b in batches:
-        digests, keys = [], []
+        digests, counts, keys = [], [], []
         for x in b.column(1).cast(pa.binary()):
             words = tokens(x.as_py())
             digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+            counts.append(len(words))
             keys.append(sketch(word_codes(words)) if words else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
+        columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "words", "keys"])
 
 
 def _codes(batches):
@@ -376,11 +378,25 @@ def joined(roots: DataFrame | None, pairs: DataFrame, codes: DataFrame) -> DataF
     return out
 
 
+def near_lengths(shares: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of shares (node, leader, ...; a stash) whose lengths let them be similar, as a stash; reps: node, words (how many).
+
+    leader may be in any number of rows. A node whose doc_id is repeated has several lengths, of which any will do."""
+    lengths = reps.groupBy("node").agg(F.min("words").alias("_least"), F.max("words").alias("_most"))
+    of_leader = lengths.select(F.col("node").alias("leader"), F.col("_least").alias("_from"), F.col("_most").alias("_to"))
+    led = stash(shares.groupBy("leader").agg(F.count("*").alias("_rows")).join(of_leader, "leader"), "near-mixed", codec="uncompressed")
+    both = join_hot(shares, led, "leader", "_rows", how="inner").join(lengths, "node")
+    longer, shorter = F.greatest("_least", "_from"), F.least("_most", "_to")
+    out = stash(both.where(longer - shorter <= F.floor(F.lit(1 - SIMILARITY) * longer + 1e-9)).select(shares.columns), "near-shares")
+    drop_stash(led)
+    return out
+
+
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, root of the linked ones among reps (node, keys), which have different texts; see components().
+    """node, root of the linked ones among reps (node, words: how many, keys), which have different texts; see components().
 
-    In each bucket the smallest node leads, and every other member is verified against it: each node first against the leader it
-    shares most buckets with, then against those leaders that are not of its class after this. Then the leader is taken out, and
+    In each bucket the smallest node leads, and every other member is verified against it, if their lengths let them be similar: each
+    node first against the leader it shares most buckets with, then against those leaders that are not of its class after this. Then the leader is taken out, and
     where the others are still of several classes, every two of different classes are verified too, unless bounds of their edit
     distance rule them out or they have been compared: first the NEAREST of each member of a block, then all others that are still of
     different classes, so members that the first ones join are not compared pair by pair. So any two members of a bucket are in one
@@ -393,10 +409,12 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = stash(sizes, "near-sizes", codec="uncompressed")
     shared = join_hot(buckets, sizes, "key", "_n", how="inner")
     members = stash(shared.where("node <> leader").select("key", "node", "leader"), "near-buckets")
-    shares = members.groupBy("node", "leader").agg(F.count("*").alias("_n")).groupBy(F.col("node").alias("a"))
-    met = stash(shares.agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("_n"), "leader")))["leader"].alias("leaders")), "near-leaders")
+    shares = stash(members.groupBy("node", "leader").agg(F.count("*").alias("_n")), "near-shares")
+    near = near_lengths(shares, reps)
+    met = stash(near.groupBy(F.col("node").alias("a")).agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("_n"), "leader")))["leader"].alias("leaders")), "near-leaders")
     pairs = met.select("a", F.explode("leaders").alias("b"))
-    codes = text_codes(pairs, docs)
+    codes = text_codes(shares.select(F.col("node").alias("a"), F.col("leader").alias("b")), docs)
+    drop_stash(shares, near)
     roots = joined(None, stash(met.select("a", F.col("leaders")[0].alias("b")), "near-pairs"), codes)
     named = met.join(roots.select(F.col("node").alias("a"), "root"), "a", "left")
     others = stash(named.select("a", F.coalesce("root", "a").alias("of_a"), F.explode(F.slice("leaders", 2, F.size("leaders"))).alias("b")), "near-others")
@@ -422,10 +440,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null if none has an id. Other columns are ignored.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stash(map_arrow(ids, _sketches, "doc_id long, digest binary, keys array<long>"), "near-rows", codec="uncompressed")
-    worded = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
+    rows = stash(map_arrow(ids, _sketches, "doc_id long, digest binary, words long, keys array<long>"), "near-rows", codec="uncompressed")
+    worded = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("words").alias("words"), F.any_value("keys").alias("keys"))
     reps = stash(worded, "near-reps", codec="uncompressed")
-    roots = links(reps.where("node IS NOT NULL").select("node", "keys"), ids)
+    roots = links(reps.where("node IS NOT NULL").select("node", "words", "keys"), ids)
     named = reps.select("digest", "node", "copies").join(roots, "node", "left").select("digest", "copies", F.coalesce("root", "node").alias("_class"))
     named = stash(named, "near-classes")
     member = join_hot(rows.select("doc_id", "digest"), named, "digest", "copies")

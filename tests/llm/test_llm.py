@@ -661,6 +661,41 @@ def test_near_copies_at_the_threshold(spark, monkeypatch, nearest):
     assert got == {i: find(i) for i in tokens}
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_leaders_of_other_lengths_are_not_verified(spark, monkeypatch, repeated):
+    """Buckets that a much longer text leads: only pairs whose lengths let them be similar are verified, and none of these is lost."""
+    seen = []
+    verify = order_minhash.verify
+    monkeypatch.setattr(order_minhash, "verify", lambda pairs, codes: seen.extend((r.a, r.b) for r in pairs.collect()) or verify(pairs, codes))
+    rnd = random.Random(29)
+    words = lambda n: [rnd.choice(WORDS) + rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(n)]
+    passage, own = words(80), words(40)
+    data = [(0, passage + words(200)), (1, passage + words(71)), (2, passage + words(70))]
+    data += [(i, passage + words(40)) for i in range(3, 30)] + [(30, passage + own), (31, passage + own[:-3])]
+    if repeated:  # the text of another length that a leader has as well
+        data.append((0, passage + own[3:]))
+    lengths = {}
+    for i, w in data:
+        lengths.setdefault(i, set()).add(len(w))
+    rows = [(i, " ".join(w)) for i, w in data]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = {(i, j) for i, v in data for j, w in data if j < i and abs(len(v) - len(w)) <= 0.2 * max(len(v), len(w)) and plain_distance(v, w) <= 0.2 * max(len(v), len(w))}
+    assert links == {(31, 30)} | ({(30, 0), (31, 0)} if repeated else set())
+    assert got == {i: {30: 30 * (not repeated), 31: 30 * (not repeated)}.get(i, i) for i in lengths}
+    able = {(i, j) for i, j in seen if any(max(m, n) - min(m, n) <= int((1 - order_minhash.SIMILARITY) * max(m, n) + 1e-9) for m in lengths[i] for n in lengths[j])}
+    assert able <= set(seen) if repeated else able == set(seen)
+
+
+def test_near_lengths(spark):
+    """Lengths rule a pair out exactly where similar() does so by lengths."""
+    reps = spark.createDataFrame([(n, n) for n in range(1, 90)] + [(200, 10), (200, 60)], "node long, words long")
+    shares = spark.createDataFrame([(a, b) for a in range(1, 90) for b in [*range(1, 90), 200]], "node long, leader long")
+    fits = lambda m, n: max(m, n) - min(m, n) <= int((1 - order_minhash.SIMILARITY) * max(m, n) + 1e-9)
+    got = {(r.node, r.leader) for r in order_minhash.near_lengths(shares, reps).collect()}
+    assert {x for x in got if x[1] < 200} == {(a, b) for a in range(1, 90) for b in range(1, 90) if fits(a, b)}
+    assert {a for a, b in got if b == 200} >= {a for a in range(1, 90) if fits(a, 10) or fits(a, 60)}
+
+
 def test_word_marks_bound():
     rnd = random.Random(28)
     for _ in range(600):
