@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.needles import candidates, needles
 from siftline.functions.text import FLAGS, or_empty
 
 THRESHOLD, MATCH_CHARS = 0.2, 200
@@ -31,15 +32,17 @@ def rule_counts(spark: SparkSession, rules: list[Rule], taxonomy: list[str] = ()
     return spark.createDataFrame([(c, sum(r[2] == c for r in rules)) for c in names], "category string, rules long")
 
 
-def matches(rules: list[Rule], fields: dict[str, Column]) -> Column:
+def matches(rules: list[Rule], fields: dict[str, Column], likely: dict[int, Column]) -> Column:
     """The rules that a row matches, in their order, with the text that matched. Each rule reads its own field alone; patterns are
-    literals of the plan, so each is compiled once a task."""
-    def hit(f: str, p: str, c: str, w: float, why: str) -> Column:
+    literals of the plan, so each is compiled once a task. likely: a condition without which the rule of that number can't match;
+    only under it is the pattern run."""
+    def hit(k: int, f: str, p: str, c: str, w: float, why: str) -> Column:
         text, pattern = or_empty(fields[f]), F.lit(FLAGS + p)
         found = F.substring(F.regexp_extract(text, FLAGS + p, 0), 1, MATCH_CHARS)
-        return F.when(F.regexp_like(text, pattern), F.struct(F.lit(c).alias("category"), F.lit(float(w)).alias("confidence"), F.lit(why).alias("reason"), found.alias("text")))
+        fits = F.regexp_like(text, pattern)
+        return F.when(likely[k] & fits if k in likely else fits, F.struct(F.lit(c).alias("category"), F.lit(float(w)).alias("confidence"), F.lit(why).alias("reason"), found.alias("text")))
 
-    return F.filter(F.array(*(hit(*r) for r in rules)), lambda m: m.isNotNull())
+    return F.filter(F.array(*(hit(k, *r) for k, r in enumerate(rules))), lambda m: m.isNotNull())
 
 
 def best_category(found: Column, names: list[str], threshold: float = THRESHOLD) -> Column:
@@ -62,6 +65,10 @@ def classify(messages: DataFrame, rules: list[Rule], taxonomy: list[str] = (), t
         return messages.withColumns({"rule_category": F.lit(""), "rule_confidence": F.lit(0.0), "rule_matches": F.array().cast(empty)})
     used = sorted({r[0] for r in rules})
     fields = {f: F.col(f) if chars is None else F.substring(F.col(f), 1, chars) for f in used}
-    found = messages.withColumn("rule_matches", matches(rules, fields))
+    needed = {k: n for k, r in enumerate(rules) if (n := needles(r[1]))}
+    own = {f: {k: n for k, n in needed.items() if rules[k][0] == f} for f in used}
+    found = messages.withColumns({f"_likely_{f}": candidates(messages.sparkSession, fields[f], n) for f, n in own.items() if n})
+    likely = {k: F.array_contains(f"_likely_{rules[k][0]}", F.lit(k)) for k in needed}
+    found = found.withColumn("rule_matches", matches(rules, fields, likely)).drop(*(f"_likely_{f}" for f in used))
     top = best_category(F.col("rule_matches"), categories(rules, taxonomy), threshold)
     return found.withColumn("_top", top).withColumns({"rule_category": F.col("_top.category"), "rule_confidence": F.col("_top.confidence")}).drop("_top")
