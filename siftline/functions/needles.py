@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.arrow import bound_batches
 from siftline.functions.text import or_empty
 
 #: Most needles of a pattern, and how often a row is expected to hold one more given letter or another given character.
@@ -18,8 +19,6 @@ MOST, LETTER, OTHER = 64, 0.5, 0.2
 PATTERN_COST = 4000
 #: Needles that are searched for in one pass over the texts.
 GROUP = 500
-#: Rows and bytes of one Arrow batch: what a Python worker holds of its input at once.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 class _Unread(Exception):
@@ -46,12 +45,8 @@ def search(found: list[str]) -> str:
 def candidates(spark: SparkSession, text: Column, patterns: dict[int, list[str]]) -> Column:
     """The numbers of those patterns of whose needles a text holds one, in rising order.
 
-    All needles are searched for in one pass (RE2, over Arrow batches), each pattern's own only in texts that hold any. Batches are
-    bounded by the session's settings, which are lowered to BATCH_ROWS and BATCH_BYTES."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+    All needles are searched for in one pass (RE2, over Arrow batches), each pattern's own only in texts that hold any."""
+    bound_batches(spark)
     groups: list[tuple[str, list[tuple[int, str]]]] = []
     own: list[tuple[int, list[str]]] = []
     for k, found in patterns.items():
